@@ -41,7 +41,7 @@ def canonical_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(survivors, records): survivors have `img, conversations, n, rep, keep_id, copies`; one row per distinct raw row."""
     raw = _raw(rows).groupBy("img", "conversations").agg(F.count("*").alias("n"), F.min("row_id").alias("rep"))
     survivors = cut(raw.withColumn("canon", canonical_text("conversations")).where(F.col("canon").isNotNull())
-                    .select("rep", "n", "img", F.xxhash64("img", "conversations").alias("raw_key"), "canon"))
+                    .select("rep", "n", "img", "canon"))
     records = survivors.groupBy("img", "canon").agg(F.sum("n").alias("copies"), F.min("rep").alias("keep_id"), F.count("*").alias("variants"))
     return survivors, records
 

@@ -1,0 +1,130 @@
+"""Consensus from several annotators' labels (problem 6), by spectral reliability.
+
+For annotators i, j and the questions both answered, the chance-centred agreement (agree - c) / (1 - c), c being the chance
+that two answers of the question's kind agree, has expectation r_i * r_j, r being an annotator's competence (1 always
+right, 0 guessing). r is the leading eigenvector of that matrix corrected for overlap counts: the fixed point of
+r_i = sum_j C_ij r_j / sum_j o_ij r_j^2, C holding the summed agreements and o the overlaps. Neither matrix is built: both
+sums are taken per question from the sums over its answers, so an iteration is linear in the votes.
+
+Answers are then weighed by the log odds that r implies. Cases: the row with the latest `ingested_at` replaces the earlier
+ones of its question (NULL is earliest; ties: more answers, then the greater content); an annotator counts once per question
+(smallest answer id); blank, NULL and mark-only answers, and those of unknown annotators, are no votes; a question without
+any vote gets a NULL answer and agreement; equal weights are decided by votes, then by the smaller answer.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from weftline.session import cut
+
+# Number words and articles of the plain form, and answers that affirm or deny.
+NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")
+ARTICLES = ("a", "an", "the")
+YES_NO = ("yes", "no", "是", "不是", "有", "没有", "对", "不对", "sí", "si", "oui", "non", "ja", "nein", "true", "false")
+#: Rows up to which a table of one row per annotator is broadcast.
+SMALL = 100_000
+#: Votes up to which a question's sums are taken in one task; larger questions are summed by partial aggregation.
+LARGE = 4096
+
+
+def plain_answer(answer: Column) -> Column:
+    """Plain form: lower case, no punctuation, no articles, number words as digits, single blanks, trimmed; '' if nothing is left."""
+    t = F.regexp_replace(F.lower(F.coalesce(answer, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
+    words = F.filter(F.split(F.trim(t), " "), lambda w: ~w.isin(*ARTICLES) & (w != ""))
+    digits = F.create_map(*[x for i, w in enumerate(NUMBER_WORDS) for x in (F.lit(w), F.lit(str(i)))])
+    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(digits, w), w)), " ")
+
+
+def latest(annotations: DataFrame) -> DataFrame:
+    """One row per question id: `question_id, answers`."""
+    last = F.max(F.struct(F.coalesce("ingested_at", F.lit("0001-01-01").cast("timestamp")), F.coalesce(F.size("answers"), F.lit(-1)).alias("n"), "answers"))
+    return annotations.where("question_id IS NOT NULL").groupBy("question_id").agg(last.alias("r")).select("question_id", "r.answers")
+
+
+def votes(current: DataFrame) -> DataFrame:
+    """(question_id, annotator_id, answer): one non-blank vote per question and annotator."""
+    v = current.select("question_id", F.explode("answers").alias("a")).select("question_id", "a.annotator_id", "a.answer_id", plain_answer(F.col("a.answer")).alias("answer"))
+    v = v.where("answer <> '' AND annotator_id IS NOT NULL")
+    return v.groupBy("question_id", "annotator_id").agg(F.min(F.struct("answer_id", "answer")).alias("m")).select("question_id", "annotator_id", "m.answer")
+
+
+def _kind(answer: Column) -> Column:
+    return F.when(answer.isin(*YES_NO), "yes/no").when(answer.rlike(r"^\d+$"), "number").otherwise("other")
+
+
+def with_chance(v: DataFrame) -> DataFrame:
+    """Adds to each vote `chance`, the probability that two votes on a question of its kind agree by chance, and `large`.
+
+    The kind of a question is that of most of its votes (the given answer type is not trusted).
+    """
+    kinds = v.groupBy("question_id", _kind(F.col("answer")).alias("kind")).count()
+    kinds = kinds.groupBy("question_id").agg(F.max_by("kind", F.struct("count", "kind")).alias("kind"), F.sum("count").alias("n"))
+    marginal = v.join(kinds, "question_id").groupBy("kind", "answer").count()
+    chance = marginal.groupBy("kind").agg((F.sum(F.col("count").cast("double") * F.col("count")) / F.pow(F.sum("count").cast("double"), F.lit(2.0))).alias("chance"))
+    kinds = kinds.join(F.broadcast(chance), "kind").select("question_id", F.least("chance", F.lit(0.9)).alias("chance"), (F.col("n") > LARGE).alias("large"))
+    return v.join(kinds, "question_id")
+
+
+def _sums(v: DataFrame, large: bool) -> DataFrame:
+    """Per vote: x summed over its answer (sa), over its question (s), and x squared over its question (t)."""
+    if not large:
+        q, qa = W.partitionBy("question_id"), W.partitionBy("question_id", "answer")
+        return v.withColumns({"sa": F.sum("x").over(qa), "s": F.sum("x").over(q), "t": F.sum(F.col("x") * F.col("x")).over(q)})
+    g = v.groupBy("question_id", "answer").agg(F.sum("x").alias("sa"), F.sum(F.col("x") * F.col("x")).alias("ta"))
+    h = g.groupBy("question_id").agg(F.sum("sa").alias("s"), F.sum("ta").alias("t"))
+    return v.join(g.drop("ta"), ["question_id", "answer"]).join(h, "question_id")
+
+
+def _attach(v: DataFrame, r: DataFrame, small: bool) -> DataFrame:
+    return v.join(F.broadcast(r) if small else r, "annotator_id")
+
+
+def reliability(v: DataFrame, rounds: int = 8, prior: float = 4.0) -> DataFrame:
+    """(annotator_id, competence, votes) by `rounds` of power iteration; `prior` pulls annotators of few overlaps to the start value."""
+    normal = v.where("NOT large").repartition("question_id").persist()
+    large = v.where("large").persist()
+    has_large = not large.isEmpty()
+    start = 0.7
+    r = cut(v.groupBy("annotator_id").agg(F.count("*").alias("votes")).withColumn("x", F.lit(start)))
+    small = r.count() <= SMALL
+    for _ in range(rounds):
+        parts = [_sums(_attach(normal, r.select("annotator_id", "x"), small), False)]
+        if has_large:
+            parts.append(_sums(_attach(large, r.select("annotator_id", "x"), small), True).select(*parts[0].columns))
+        both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        num = (F.col("sa") - F.col("x") - F.col("chance") * (F.col("s") - F.col("x"))) / (1 - F.col("chance"))
+        y = both.groupBy("annotator_id").agg(F.sum(num).alias("num"), F.sum(F.col("t") - F.col("x") * F.col("x")).alias("den"))
+        step = (F.coalesce("num", F.lit(0.0)) + prior * start * start) / (F.coalesce("den", F.lit(0.0)) + prior * start)
+        # Half a step each time: the map r -> C/r by itself swings between two values.
+        r = cut(r.join(y, "annotator_id", "left").select("annotator_id", "votes", F.greatest(F.lit(-0.2), F.least(F.lit(1.2), (F.col("x") + step) / 2)).alias("x")))
+    return r.select("annotator_id", F.col("x").alias("competence"), "votes")
+
+
+def weigh(v: DataFrame, rel: DataFrame) -> DataFrame:
+    """(question_id, answer, weight, n): the answers with their weights."""
+    small = rel.count() <= SMALL
+    n_answers = v.groupBy("question_id").agg(F.approx_count_distinct("answer").alias("k"))
+    x = _attach(v, rel.select("annotator_id", F.least(F.lit(0.97), F.greatest(F.lit(0.01), F.col("competence"))).alias("x")), small).join(n_answers, "question_id")
+    k = F.greatest(F.lit(2), F.col("k"))
+    w = F.log((F.col("x") + (1 - F.col("x")) / k) / ((1 - F.col("x")) / k))
+    return x.withColumn("w", w).groupBy("question_id", "answer").agg(F.sum("w").alias("weight"), F.count("*").alias("n"))
+
+
+def consensus(annotations: DataFrame) -> DataFrame:
+    """(question_id, answer, agreement, votes): the consensus answer and the share of votes that gave it."""
+    current = latest(annotations)
+    v = cut(with_chance(votes(current)))
+    scored = weigh(v, reliability(v))
+    # Equal up to rounding counts as equal, so that the order of summation decides nothing.
+    best = F.max_by(F.struct("answer", "n"), F.struct(F.round("weight", 6), "n", F.transform(F.split("answer", ""), lambda c: -F.ascii(c))))
+    top = scored.groupBy("question_id").agg(best.alias("b"), F.sum("n").alias("votes"))
+    out = current.select("question_id").join(top, "question_id", "left")
+    return out.select("question_id", "b.answer", (F.col("b.n") / F.col("votes")).alias("agreement"), F.coalesce("votes", F.lit(0)).alias("votes"))
+
+
+def annotator_reliability(annotations: DataFrame) -> DataFrame:
+    """(annotator_id, competence, votes)."""
+    return reliability(cut(with_chance(votes(latest(annotations)))))
