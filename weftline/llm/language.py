@@ -254,16 +254,21 @@ def turns_of(conversations: str | None) -> list[tuple[int, str, str]]:
     return out
 
 
-def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """A model from at most `sample_rows` rows of (row_id, conversations, lang)."""
+def sample(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
+    """(language, stretch) from at most `sample_rows` labelled rows of (row_id, conversations, lang)."""
     n = rows.count()
-    share = min(1_000_000, int(1_000_000 * 1.2 * sample_rows / max(1, n)) + 1)
+    share = min(1_000_000, int(1_000_000 * 1.5 * sample_rows / max(1, n)) + 1)
     picked = rows.where(F.col("conversations").isNotNull() & F.col("lang").isNotNull()).where(F.pmod(F.xxhash64("row_id", F.lit("language sample")), F.lit(1_000_000)) < share)
-    samples: list[tuple[str, str]] = []
+    out: list[tuple[str, str]] = []
     for r in picked.select("conversations", "lang").limit(sample_rows).collect():
         if label := label_of(r["lang"]):
-            samples += [(label, s) for _, _, content in turns_of(r["conversations"]) for s in stretches(content)]
-    return fit_texts(samples)
+            out += [(label, s) for _, _, content in turns_of(r["conversations"]) for s in stretches(content)]
+    return out
+
+
+def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
+    """A model from at most `sample_rows` rows of (row_id, conversations, lang)."""
+    return fit_texts(sample(rows, sample_rows))
 
 
 def languages_of(turns: list[tuple[int, str, str]], found: dict[str, tuple[str | None, float]]) -> tuple[str | None, float, list[tuple[int, str, float]]]:
