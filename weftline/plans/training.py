@@ -1,0 +1,24 @@
+"""Queries of the general training-data operators (problems 3 to 6)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from weftline.operators import canonical, consensus, neardup, splits
+from weftline.session import table
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        "p3_found": lambda s, d: neardup.similar_conversations(table(s, d, "sft_i2t")),
+        "p3_groups": lambda s, d: neardup.conversation_groups(table(s, d, "sft_i2t")),
+        "p4_found": lambda s, d: splits.cross_split_pairs(table(s, d, "vqa_questions")),
+        "p4_counts": lambda s, d: splits.cross_split_counts(table(s, d, "vqa_questions")),
+        "p5_found": lambda s, d: canonical.duplicate_rows(table(s, d, "sft_i2t")),
+        "p5_records": lambda s, d: canonical.dedup_records(table(s, d, "sft_i2t")),
+        "p6_found": lambda s, d: consensus.consensus(table(s, d, "vqa_annotations")).select("question_id", "answer"),
+        "p6_agreement": lambda s, d: consensus.consensus(table(s, d, "vqa_annotations")),
+        "p6_reliability": lambda s, d: consensus.annotator_reliability(table(s, d, "vqa_annotations")),
+    }
