@@ -37,7 +37,11 @@ def signatures(df: DataFrame, id_col: str, text: Column, n: int = 64, k: int = 5
     """(id, sig): min-hashes of the distinct k-word shingles of the normalised text; texts without words have none."""
     words = F.filter(F.split(normalise_near_dup(text), " "), lambda w: w != "")
     h = df.select(F.col(id_col).alias("id"), F.transform(shingles(words, k), base_hash).alias("h"), F.size(words).alias("_w")).where("_w > 0")
-    return h.select("id", F.array(*[F.array_min(F.transform("h", lambda x, a=a, b=b: (x * F.lit(a) + F.lit(b)) % PRIME)) for a, b in permutations(n)]).alias("sig"))
+
+    def least(a: int, b: int) -> Column:
+        return F.array_min(F.transform("h", lambda x: (x * F.lit(a) + F.lit(b)) % PRIME))
+
+    return h.select("id", F.array(*[least(a, b) for a, b in permutations(n)]).alias("sig"))
 
 
 def candidates(sigs: DataFrame, bands: int = 5, rows: int = 11) -> DataFrame:

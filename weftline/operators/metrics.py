@@ -29,7 +29,11 @@ def closest_length(pred: Column, refs: Column) -> Column:
 def ngram_table(df: DataFrame, top: int = 4) -> DataFrame:
     """(id, ref, n, gram, tf): ref is -1 for the prediction, else the number of the reference."""
     sides = df.select("id", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("ref"), F.col("pred").alias("tok"))), F.transform("refs", lambda r, i: F.struct(i.alias("ref"), r.alias("tok"))))).alias("x"))
-    grams = F.flatten(F.array(*[F.transform(ngrams(F.col("x.tok"), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("gram"))) for n in range(1, top + 1)]))
+
+    def tagged(n: int) -> Column:
+        return F.transform(ngrams(F.col("x.tok"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+
+    grams = F.flatten(F.array(*[tagged(n) for n in range(1, top + 1)]))
     return sides.select("id", "x.ref", F.explode(grams).alias("g")).groupBy("id", "ref", "g.n", "g.gram").agg(F.count("*").alias("tf"))
 
 
