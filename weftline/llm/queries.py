@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import language, pairs, residue
+from weftline.llm import language, mixing, packing, pairs, residue
 from weftline.session import table
 
 
@@ -15,6 +15,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": lambda s, d: language.mislabelled_or_mixed(table(s, d, "sft_i2t")),
         "p1_languages": lambda s, d: language.conversation_languages(table(s, d, "sft_i2t")),
         "p2_found": lambda s, d: pairs.defects(table(s, d, "preference_pairs"), table(s, d, "sft_i2t")),
+        "p7_assignment": lambda s, d: packing.pack(table(s, d, "documents"), table(s, d, "pack_specs")),
+        "p7_unused": lambda s, d: packing.unused(packing.pack(table(s, d, "documents"), table(s, d, "pack_specs"))),
+        "p8_draw": lambda s, d: mixing.draw(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p8_shares": lambda s, d: mixing.shares(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p9_found": lambda s, d: residue.residue_documents(table(s, d, "documents")),
         "p9_reasons": lambda s, d: residue.classify_documents(table(s, d, "documents")),
         "p9_templates": lambda s, d: residue.templates(table(s, d, "documents")).where("verdict IS NOT NULL"),
