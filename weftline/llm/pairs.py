@@ -58,14 +58,14 @@ REFUSALS = {
     "zh": r"我(?:们)?(?:没有办法|没办法|无法|不能|不可以|不便|不方便|没法|无权|不会|不愿意?|不想)(?:[^，。！？\n]{0,6}?)(?:查看|看图|看照片|回答|答复|评论|讨论|描述|帮助|帮忙|处理|提供|协助|谈论|回应)|我(?:必须|只能|得|需要)?(?:拒绝|谢绝|回避)|(?:超出|超过)了?我的(?:能力|范围)|(?:规定|准则|规则|政策)(?:不允许|禁止|不许)我|我的(?:准则|规则|规定)不|不在我(?:的)?(?:能力|职责)",
 }
 _REFUSAL = {k: re.compile(v) for k, v in REFUSALS.items()}
-_QUICK = re.compile(r"\bi\b|\bmy\b|\bme\b|\bje\b|\bj'|\bmes\b|\bm'|mis\b|puedo|debo|prefiero|tengo|\bich\b|\bmeine|mir\b|\bno lo\b|alcance|capacit|fähigkeit|我|规定|\bno me\b|soy|voy")
+# Every refusal holds one of these; most answers hold none.
+_CUES = (" i ", " i'", " my ", " me", "something i", "puedo", "debo ", "tengo ", " mis ", "prefiero", " tema no", " mi ", " mí", "no me ", "rechaz", "declin", "no voy", "no quiero", "soy ", "las normas", "las reglas", "las directrices", "las políticas", "je ", "j'", " mes ", "m'", "les règles", "les directives", "les consignes", "ich ", "meine ", " mir ", "我", "规定", "准则", "规则", "政策")
 _ANNOUNCE = re.compile(
     r"^\W*(?:(?:you|he|she|they) (?:asked|are asking|ask|wrote|said)|(?:the |your |my )?(?:question|prompt|q|instruction)(?: is| was)?|frage|die frage(?: lautet| ist)?|sie fragen|du fragst|ihre frage|pregunta|la pregunta es|usted pregunta|preguntas|question posée|la question est|vous demandez|tu demandes|您问的是|你问的是|您的问题是|你的问题是|问题是|问题|问)\s*[:：,，]?\s*", re.I)
 _TOKEN = re.compile(f"[{lid.CJK}]|[^\\W_{lid.CJK}]+")
 _STOPPED = re.compile(r"[.!?。！？][\"'”’»）)\]」』*_`\s]*$")
 _FADED = re.compile(r"(?:\s*(?:\.{2,}|…+|[!?！？]{2,}|\s[.!?。]+))+\s*$")
 _SENTENCES = re.compile(r"(?<=[.!?])[\"'”’»)\]]*\s+|(?<=[。！？])[\"'”’»）\]]*|\n{2,}")
-_PIECE = re.compile(f"[{lid.CJK}]|\\d+|[^\\W\\d_{lid.CJK}]+|[,;:，；：、]")
 _CAPS = re.compile(r"[A-ZÀ-ÞŒ]")
 _DEAD_END = re.compile(r"[,;:，；：、(\[{（【「『“«„/&+=]\s*$|\s[-–—]\s*$|(?:^|\n)\s*(?:[-*•]|\d+[.)])\s*$")
 
@@ -148,13 +148,16 @@ def tiles(answer: list[str], question: list[str], least: int = 2) -> list[tuple[
 
 def is_copy(answer: str, question: str) -> bool:
     """Nothing but the question, or most of it, in the answer."""
+    inside = set(question.lower().split())
+    if not re.search(f"[{lid.CJK}]", question) and not answer.isupper() and sum(map(inside.__contains__, answer.lower().split())) < 0.4 * answer.count(" "):
+        return False
     q = words_of(question.replace("<image>", " "))
     a = words_of(_ANNOUNCE.sub("", answer, count=1))
     if len(q) < 2 or len(a) < max(3 if len(q) > 3 else 2, 0.5 * len(q)):
         return False
     if a == q:
         return True
-    if sum(w in set(q) for w in a) < 0.8 * len(a):
+    if sum(map(set(q).__contains__, a)) < 0.8 * len(a):
         return False
     t = tiles(a, q, min(3, len(q)))
     if not t:
@@ -175,8 +178,8 @@ def is_empty(answer: str | None) -> bool:
 
 
 def is_refusal(answer: str) -> bool:
-    low = answer.lower().replace("’", "'").replace("‘", "'")
-    if not _QUICK.search(low):
+    low = " " + answer.lower().replace("’", "'").replace("‘", "'")
+    if not any(c in low for c in _CUES):
         return False
     low = lid._QUOTES.sub(" ", low)
     parts = [s for s in _SENTENCES.split(low) if s and words_of(s)]
@@ -198,43 +201,55 @@ class Speaker:
     def __init__(self, model: lid.Model | None, lexicon: dict[str, str]) -> None:
         self.model, self.lexicon = model, lexicon
         self.memo: dict[str, frozenset[str]] = {}
+        self.votes: dict[str, str | None] = {}
 
-    def vote(self, text: str) -> str | None:
-        """The only language voted for, or None."""
+    def vote(self, text: str, enough: int = 16) -> str | None:
+        """The language of most of the first words that belong to one, or None."""
         n: dict[str, int] = {}
-        for w in _TOKEN.findall(text.lower()):
-            lang = "zh" if "㐀" <= w[0] <= "鿿" else self.lexicon.get(w)
+        left = enough
+        lexicon = self.lexicon
+        for w in text.lower().split():
+            lang = lexicon.get(w) or lexicon.get(w.strip(".,;:!?¿¡\"'()")) or ("zh" if "㐀" <= w[0] <= "鿿" else None)
             if lang:
-                n[lang] = n.get(lang, 0) + 1
+                n[lang] = n.get(lang, 0) + (2 if lang == "zh" else 1)
+                left -= 1
+                if not left:
+                    break
         if not n:
             return None
-        best = max(n, key=lambda k: n[k])
+        best = max(n, key=n.__getitem__)
         return best if n[best] >= 2 and n[best] >= 0.75 * sum(n.values()) else None
 
-    def of(self, text: str) -> frozenset[str]:
-        if text in self.memo:
-            return self.memo[text]
+    def learn(self, texts: list[str]) -> None:
+        """Classifies texts together and remembers their languages."""
         if len(self.memo) > 50_000:
             self.memo.clear()
-        parts = lid.stretches(text)
-        found = lid.classify(parts, self.model) if self.model else {}
-        out = frozenset(found[p][0] for p in parts if found.get(p, (None, 0))[0] and found[p][1] >= lid.SURE and (lid.n_words(p) >= lid.SENTENCE_WORDS or len(parts) == 1))
-        self.memo[text] = out
-        return out
-
-    def other(self, answer: str, question: str) -> bool:
-        """Is the answer wholly in a language that neither the question is in nor asks for?"""
-        n = lid.n_words(answer)
-        chinese = re.search(f"[{lid.CJK}]", answer) is not None
-        if n < lid.SENTENCE_WORDS and not (chinese and n >= 2):
-            return False
-        question = question.replace("<image>", " ")
-        if n < lid.SENTENCE_WORDS:  # script check
-            return not re.search(r"[A-Za-zÀ-ÿ]{2}", answer) and not re.search(f"[{lid.CJK}]", question) and lid.n_words(question) >= 3 and "zh" not in asked_language(question)
+        parts = {t: lid.stretches(t) for t in dict.fromkeys(texts) if t not in self.memo}
+        found = lid.classify([p for x in parts.values() for p in x], self.model) if self.model else {}
+        for t, x in parts.items():
+            self.memo[t] = frozenset(found[p][0] for p in x if found.get(p, (None, 0))[0] and found[p][1] >= lid.SURE and (lid.n_words(p) >= lid.SENTENCE_WORDS or len(x) == 1))
+
+    def doubt(self, answer: str, question: str) -> str | None:
+        """`other` if the script tells that the answer is in another language, `ask` if the centroids have to, else None."""
+        if question not in self.votes:
+            if len(self.votes) > 50_000:
+                self.votes.clear()
+            self.votes[question] = self.vote(question.replace("<image>", " "))
+        # An answer that begins in the question's language is not wholly in another.
         a = self.vote(answer)
-        if a is not None and a == self.vote(question):
-            return False
-        langs, asked = self.of(answer), self.of(question)
+        if a is not None and a == self.votes[question]:
+            return None
+        n = lid.n_words(answer)
+        if n < lid.SENTENCE_WORDS:
+            if n < 2 or not re.search(f"[{lid.CJK}]", answer) or re.search(r"[A-Za-zÀ-ÿ]{2}", answer):
+                return None
+            question = question.replace("<image>", " ")
+            return "other" if not re.search(f"[{lid.CJK}]", question) and lid.n_words(question) >= 3 and "zh" not in asked_language(question) else None
+        return "ask"
+
+    def differ(self, answer: str, question: str) -> bool:
+        """Is the answer wholly in a language that neither the question is in nor asks for? Both texts are learned."""
+        langs, asked = self.memo[answer], self.memo[question]
         return bool(langs) and bool(asked) and not langs & (asked | asked_language(question))
 
 
@@ -257,102 +272,108 @@ def lexicon_of(samples: list[tuple[str, str]], least: int = 3, share: float = 0.
 # --- How sentences end ------------------------------------------------------------------------------------------------
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
+_TOKENS = re.compile(f"[{lid.CJK}]|\\d+|[^\\W\\d_{lid.CJK}]+|[,;:，；：、]|[.!?](?=[\\s\"'”’»)\\]]|$)|[。！？]")
+STOP = 0
 
 
-class _Ids:
-    def __init__(self) -> None:
-        self.memo: dict[str, int] = {}
-
-    def __call__(self, w: str) -> int:
-        x = self.memo.get(w)
-        if x is None:
-            if len(self.memo) > 500_000:
-                self.memo.clear()
-            x = self.memo[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-        return x
-
-
-def pieces(sentence: str) -> list[str]:
-    """Words of a sentence as its context sees them: numbers alike, names alike."""
-    found = _PIECE.findall(sentence)
-    shout = sentence.isupper() or sentence.istitle()
-    out = []
-    for no, w in enumerate(found):
-        if w[0].isdigit():
-            out.append("#")
-        elif no and not shout and _CAPS.match(w):
-            out.append("<N>")
-        else:
-            out.append(w.lower())
-    return out
-
-
-def _contexts(h: np.ndarray, first: np.ndarray, prev: np.ndarray) -> np.ndarray:
-    """Three hashes for each word: with the sentence's beginning and the word before, with the word before, alone."""
-    b = (prev * MIX) ^ h
-    b ^= b >> np.uint64(31)
-    a = (first * MIX) ^ b
-    a = (a ^ (a >> np.uint64(29))) * MIX
-    return np.stack([a | np.uint64(1), (b * MIX) & ~np.uint64(3) | np.uint64(2), h & ~np.uint64(3)])
+def _hash(w: str) -> int:
+    return int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") | 8
 
 
 class Endings:
-    """Counts, by context, of sentences that end or go on; filled text by text, drained as arrays."""
+    """Counts, by context, of sentences that end or go on; filled text by text, drained as arrays.
+
+    A word counts in lower case, but numbers count alike, and so do capitalised words inside a sentence (names). Its contexts are
+    three: with the sentence's first three words and the word before, with the word before, alone.
+    """
 
     def __init__(self) -> None:
-        self.ids = _Ids()
-        self.buffer: list[tuple[list[int], bool]] = []
-        self.size = 0
+        self.index: dict[str, int] = {}
+        self.first_id: list[int] = []
+        self.inner_id: list[int] = []
+        self.buffer: list[int] = []
         self.keys, self.ends, self.ons = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def of_last(self, sentence: str) -> list[int] | None:
-        """Contexts of the last word of an unfinished sentence."""
-        p = pieces(sentence)
-        if len(p) < (6 if re.match(f"[{lid.CJK}]", p[0] if p else "") else 4):
-            return None  # a short answer stands by itself
-        h = np.array([self.ids(w) for w in p], np.uint64)
-        c = _contexts(h[-1:], _first(h), h[-2:-1])[:, 0].view(np.int64).tolist()
-        # Short phrases may begin like sentences that go on; in a long run without stops the beginning tells nothing.
-        return c if 6 < len(p) <= (34 if re.match(f"[{lid.CJK}]", p[0]) else 20) else [0, *c[1:]]
+        self.clear()
+
+    def clear(self) -> None:
+        self.index, self.first_id, self.inner_id = {".": STOP}, [0], [0]
+
+    def number(self, w: str) -> int:
+        if w in ".!?。！？":
+            return STOP
+        i = self.index[w] = len(self.first_id)
+        low = _hash("#" if w[0].isdigit() else w.lower())
+        self.first_id.append(low)
+        self.inner_id.append(_hash("<N>") if _CAPS.match(w) else low)
+        return i
+
+    def numbers(self, text: str) -> list[int]:
+        if text.isupper() or text.istitle():
+            text = text.lower()
+        known, new = self.index, self.number
+        out = [known[w] if w in known else new(w) for w in _TOKENS.findall(text)]
+        return out
 
     def add(self, text: str, stopped: bool) -> None:
-        parts = [s for s in _SENTENCES.split(text) if s and s.strip()]
-        for no, s in enumerate(parts):
-            if no == len(parts) - 1 and not stopped:
-                break  # how it ends is the question
-            p = pieces(s)
-            if p:
-                self.buffer.append(([self.ids(w) for w in p], True))
-                self.size += len(p)
-        if self.size > 400_000:
+        """Counts the sentences of a text; the last one only if it is finished."""
+        n = self.numbers(text)
+        if stopped:
+            n.append(STOP)
+        else:
+            while n and n[-1] != STOP:
+                n.pop()
+        self.buffer += n
+        if len(self.buffer) > 500_000:
             self.fold()
 
+    @staticmethod
+    def contexts(stop: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(3 x words) contexts of a run of hashed words with stops, and whether the sentence ends behind each word."""
+        before = np.r_[True, stop[:-1]]
+        word = ~stop
+        # Number of the sentence each word belongs to, and the position in it.
+        at = np.arange(len(ids))
+        start = np.maximum.accumulate(np.where(before, at, 0))
+        padded = np.r_[ids, np.zeros(3, np.uint64)]
+        in_one = np.r_[np.cumsum(stop), np.full(3, -1)]
+        first = np.zeros(len(ids), np.uint64)
+        for k in range(3):
+            same = in_one[start + k] == in_one[:-3]
+            x = np.where(same & (padded[start + k] != 0), padded[start + k], np.uint64(0))
+            first = (first ^ x) * MIX
+            first ^= first >> np.uint64(33)
+        prev = np.where(before, np.uint64(0), np.r_[np.uint64(0), ids[:-1]])
+        b = (prev * MIX) ^ ids
+        b ^= b >> np.uint64(31)
+        a = (first * MIX) ^ b
+        a = (a ^ (a >> np.uint64(29))) * MIX
+        c = np.stack([a | np.uint64(1), (b * MIX) & ~np.uint64(3) | np.uint64(2), ids & ~np.uint64(3)])
+        return c[:, word].view(np.int64), np.r_[stop[1:], False][word]
+
+    def of_last(self, sentence: str) -> list[int] | None:
+        """Contexts of the last word of an unfinished sentence; None for a short answer, which stands by itself."""
+        n = [x for x in self.numbers(sentence) if x != STOP]
+        chinese = re.match(f"\\W*[{lid.CJK}]", sentence) is not None
+        if len(n) < (6 if chinese else 4):
+            return None
+        ids = np.array([self.first_id[n[0]], *(self.inner_id[x] for x in n[1:]), 0], np.uint64)
+        c = self.contexts(np.arange(len(ids)) == len(n), ids)[0][:, -1].tolist()
+        # Short phrases may begin like sentences that go on; in a long run without stops the beginning tells nothing.
+        return c if 6 < len(n) <= (34 if chinese else 20) else [0, *c[1:]]
+
     def fold(self) -> None:
-        if not self.buffer:
-            return
-        h = np.fromiter((x for p, _ in self.buffer for x in p), np.uint64, self.size)
-        length = np.array([len(p) for p, _ in self.buffer])
-        start = np.r_[0, np.cumsum(length)[:-1]]
-        first = np.repeat(np.array([_first(h[s : s + n])[0] for s, n in zip(start, length)], np.uint64), length)
-        prev = np.r_[np.uint64(0), h[:-1]]
-        prev[start] = 0
-        end = np.zeros(len(h), bool)
-        end[start + length - 1] = True
-        c = _contexts(h, first, prev).view(np.int64)
-        keys = np.concatenate([self.keys, *c])
-        e = np.concatenate([self.ends, *[end.astype(np.int64)] * 3])
-        o = np.concatenate([self.ons, *[(~end).astype(np.int64)] * 3])
-        self.keys, at = np.unique(keys, return_inverse=True)
-        self.ends, self.ons = np.bincount(at, e, len(self.keys)).astype(np.int64), np.bincount(at, o, len(self.keys)).astype(np.int64)
-        self.buffer, self.size = [], 0
-
-
-def _first(h: np.ndarray) -> np.ndarray:
-    x = np.zeros(1, np.uint64)
-    for w in h[:3]:
-        x = (x ^ w) * MIX
-        x ^= x >> np.uint64(33)
-    return x
+        if self.buffer:
+            n = np.array(self.buffer)
+            stop = n == STOP
+            c, end = self.contexts(stop, np.where(np.r_[True, stop[:-1]], np.array(self.first_id, np.uint64)[n], np.array(self.inner_id, np.uint64)[n]))
+            keys = np.concatenate([self.keys, *c])
+            e = np.concatenate([self.ends, *[end.astype(np.int64)] * 3])
+            o = np.concatenate([self.ons, *[(~end).astype(np.int64)] * 3])
+            self.keys, at = np.unique(keys, return_inverse=True)
+            self.ends, self.ons = np.bincount(at, e, len(self.keys)).astype(np.int64), np.bincount(at, o, len(self.keys)).astype(np.int64)
+        self.buffer = []
+        if len(self.index) > 500_000:
+            self.clear()
 
 
 # --- The operator -----------------------------------------------------------------------------------------------------
@@ -362,22 +383,25 @@ ARROW = pa.schema([("src", pa.string()), ("rec_id", pa.int64()), ("field", pa.st
 FLUSH = 1_500_000
 
 
-def judge(answer: str | None, question: str | None, speaker: Speaker, endings: Endings) -> tuple[str | None, list[int] | None]:
-    """(defect, contexts): contexts only if how sentences end elsewhere has to decide."""
+def by_itself(answer: str | None, question: str) -> str | None:
+    """Defects told by the two texts alone; `fine` for an answer too short to have any other."""
     if is_empty(answer):
-        return "empty", None
-    question = question or ""
+        return "empty"
     if len(answer) < 4 and not re.search(f"[{lid.CJK}]", answer):
-        return None, None
+        return "fine"
     if is_refusal(answer):
-        return "refusal", None
+        return "refusal"
     if len(answer) > 5 and is_copy(answer, question):
-        return "copied", None
-    if speaker.other(answer, question):
-        return "other_language", None
-    bare = _FADED.sub("", answer)
-    faded = bare != answer
-    stopped = not faded and _STOPPED.search(answer) is not None
+        return "copied"
+    return None
+
+
+def broken_off(answer: str, endings: Endings) -> tuple[str | None, list[int] | None]:
+    """(defect, contexts): contexts if how sentences end elsewhere has to decide."""
+    tail = _FADED.sub("", answer[-80:])
+    faded = len(tail) != min(80, len(answer))
+    bare = answer[:-80] + tail if faded else answer
+    stopped = not faded and _STOPPED.search(answer[-40:]) is not None
     endings.add(answer, stopped)
     if stopped:
         return None, None
@@ -387,6 +411,22 @@ def judge(answer: str | None, question: str | None, speaker: Speaker, endings: E
     return None, endings.of_last(parts[-1]) if parts else None
 
 
+def judge(pairs: list[tuple[str | None, str | None]], speaker: Speaker, endings: Endings) -> list[tuple[str | None, list[int] | None]]:
+    """(defect, contexts) of each (answer, question)."""
+    early = [by_itself(a, q or "") for a, q in pairs]
+    doubtful = [None if e else speaker.doubt(a, q or "") for e, (a, q) in zip(early, pairs)]
+    speaker.learn([t for d, (a, q) in zip(doubtful, pairs) if d == "ask" for t in (a, q or "")])
+    out: list[tuple[str | None, list[int] | None]] = []
+    for e, d, (a, q) in zip(early, doubtful, pairs):
+        if e:
+            out.append((None if e == "fine" else e, None))
+        elif d == "other" or d == "ask" and speaker.differ(a, q or ""):
+            out.append(("other_language", None))
+        else:
+            out.append(broken_off(a, endings))
+    return out
+
+
 def _answers(src: str, row: tuple) -> Iterator[tuple[int, str, str | None, str | None]]:
     if src == "preference_pairs":
         i, prompt, chosen, rejected = row
@@ -421,10 +461,11 @@ def _scan(src: str, model: lid.Model | None, lexicon: dict[str, str]):
             return out
 
         for b in batches:
+            rows = [x for row in zip(*(c.to_pylist() for c in b.columns)) for x in _answers(src, row)]
             found: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                for i, field, answer, question in _answers(src, row):
-                    defect, contexts = judge(answer, question, speaker, endings)
+            for at in range(0, len(rows), 4000):
+                part = rows[at : at + 4000]
+                for (i, field, _, _), (defect, contexts) in zip(part, judge([x[2:] for x in part], speaker, endings)):
                     if defect or contexts:
                         found.append((i, field, defect, contexts))
             n = len(found)
