@@ -116,7 +116,7 @@ def questions(spark, rows):
 
 
 def test_cross_split_pairs(spark):
-    many = [(1000 + i, 99, f"what color is the {w}", "train") for i, w in enumerate(["backpack", "umbrella", "statue", "kettle", "bottle", "dog"] * 30)]
+    many = [(1000 + i, 99 + i, f"what color is the {w}", "train") for i, w in enumerate(["backpack", "umbrella", "statue", "kettle", "bottle", "dog"] * 30)]
     rows = many + [
         (1, 5, "What color is the backpack?", "train"), (2, 5, "what colour is that backpak", "val"), (3, 5, "What color is the umbrella?", "test"), (4, 6, "What color is the backpack?", "val"),
         (5, 5, "Please tell me: what color is the backpack? Answer briefly.", "test"), (6, 5, None, "val"), (7, 5, " ?! ", "train"), (8, None, "What color is the backpack?", "val"), (9, 7, "狗后面是什么？", "train"), (10, 7, "请问狗后面是甚么呢？", "val"),

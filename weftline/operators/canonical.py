@@ -22,8 +22,9 @@ TURN_END, ROLE_END = "\x1e", "\x1f"
 
 
 def fold(c: Column) -> Column:
-    """Letter case and everything but letters and digits removed. Upper-casing first folds such letters as the sharp s."""
-    return F.regexp_replace(F.lower(F.upper(F.coalesce(c, F.lit("")))), r"[^\p{L}\p{N}]+", "")
+    """Letter case and everything but letters and digits removed. Upper-casing first folds such letters as the sharp s; the
+    removal stands between the two, as the optimizer would drop the inner one of two case functions."""
+    return F.lower(F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", ""))
 
 
 def canonical_text(conversations: Column) -> Column:
