@@ -106,3 +106,22 @@ def test_readers(spark, tmp_path):
     writers.write_prediction_array(d, str(tmp_path / "p"))
     assert {tuple(r) for r in readers.read_predictions(spark, str(tmp_path / "p")).collect()} == {(1, "a"), (2, "b")}
     assert readers.tolerant_json(spark, str(tmp_path / "none.json")) == {}
+
+
+def test_signatures_and_clusters(spark):
+    import numpy as np
+
+    from weftline.operators import dedup as D
+
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (2, base.upper() + "!"), (3, base.replace("w59", "z")), (4, "something else entirely here now ok"), (5, None), (6, " ?"), (7, "short")]
+    sigs = D.signatures(spark.createDataFrame(rows, "i long, t string"), "i", F.col("t"))
+    got = {r["id"]: r["sig"] for r in sigs.collect()}
+    assert set(got) == {1, 2, 3, 4, 7} and got[1] == got[2] and len(got[4]) == 64
+    a, b = zip(*D.permutations(64))
+    h = D.base_hash("short")
+    assert got[7] == [int(x) for x in (np.array(a) * h + np.array(b)) % D.PRIME]
+    comps = {r["id"]: r["component"] for r in D.clusters(sigs).collect()}
+    assert comps[1] == comps[2] == 1 and 4 not in comps
+    assert D.cluster_profile(sigs).first()["texts"] == 5
+    assert 0 <= D.sampled_rate(sigs, 10, 2, 1).first()["rate"] <= 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,28 +97,32 @@ def choice_prompt(question: Column, options: dict[str, Column], instruction: str
 # --- Token sequences -------------------------------------------------------------------------------------------------
 
 
+def label_spans(tokens: list[int], start: list[int], end: list[int], most: int) -> list[int]:
+    """-100 except from behind each start pattern through the next end pattern, for the first `most` positions."""
+    out = [-100] * len(tokens)
+    at, n = 0, len(tokens)
+
+    def find(pattern: list[int], since: int) -> int:
+        return next((i for i in range(since, n - len(pattern) + 1) if tokens[i : i + len(pattern)] == pattern), -1)
+
+    while (s := find(start, at)) >= 0:
+        begin = s + len(start)
+        e = find(end, begin)
+        stop = n if e < 0 else e + len(end)
+        for i in range(begin, min(stop, most)):
+            out[i] = tokens[i]
+        at = stop
+    return out
+
+
 def answer_labels(tokens: Column, start: list[int], end: list[int], most: int) -> Column:
-    """Labels of a token array: -100 except from behind each start pattern through the next end pattern, cut at `most`.
+    """Labels of a token array, in Arrow batches; NULL stays NULL."""
 
-    A fold over the positions: the state says whether an answer is open.
-    """
-    n = F.size(tokens)
-    s, e = F.array(*[F.lit(x) for x in start]), F.array(*[F.lit(x) for x in end])
-    # (position from which an answer is open or -1, last position of the closing pattern or -1, labels)
-    init = F.struct(F.lit(-1).alias("open"), F.lit(-1).alias("until"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, i: Column) -> Column:
-        begins = (a["open"] < 0) & (F.slice(tokens, i, len(start)) == s)
-        opened = F.when(begins, i + len(start)).otherwise(a["open"])
-        inside = (opened >= 0) & (i >= opened)
-        closes = inside & (a["until"] < 0) & (F.slice(tokens, i, len(end)) == e)
-        until = F.when(closes, i + len(end) - 1).otherwise(a["until"])
-        label = F.when(inside & (i <= most), F.element_at(tokens, i)).otherwise(F.lit(-100))
-        over = (until >= 0) & (i >= until)
-        return F.struct(F.when(over, F.lit(-1)).otherwise(opened).alias("open"), F.when(over, F.lit(-1)).otherwise(until).alias("until"), F.concat(a["out"], F.array(label)).alias("out"))
-
-    positions = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(positions, init, step, lambda a: a["out"])
+    @F.pandas_udf("array<int>")
+    def labels(column: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else label_spans(list(t), start, end, most) for t in column])
+
+    return labels(tokens)
 
 
 def prefix_masked(tokens: Column, k: Column) -> Column:

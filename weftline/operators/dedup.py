@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.text import normalise_near_dup, shingles
+from weftline.functions.text import normalise_near_dup
 from weftline.operators.components import connected_components
 from weftline.operators.relational import draw_key
+from weftline.session import cut, spread
 
 PRIME = 2147483647
 
@@ -18,9 +24,9 @@ def duplicate_counts(df: DataFrame, *key: Column) -> DataFrame:
     return d.select("rows", "distinct_rows", (F.col("rows") - F.col("distinct_rows")).alias("duplicates"), (F.col("distinct_rows") / F.greatest("rows", F.lit(1))).alias("distinct_share"))
 
 
-def base_hash(text: Column) -> Column:
+def base_hash(text: str) -> int:
     """First eight hexadecimal digits of the MD5 of a text, modulo a Mersenne prime."""
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % PRIME
+    return int.from_bytes(hashlib.md5(text.encode(), usedforsecurity=False).digest()[:4], "big") % PRIME
 
 
 def permutations(n: int) -> list[tuple[int, int]]:
@@ -33,20 +39,37 @@ def permutations(n: int) -> list[tuple[int, int]]:
     return out
 
 
+def signature(text: str, perms: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray | None:
+    """Min-hashes of the distinct k-word shingles of a normalised text; a text of fewer words is one shingle."""
+    words = text.split()
+    if not words:
+        return None
+    grams = {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+    h = np.fromiter((base_hash(g) for g in grams), np.int64, len(grams))
+    low = np.full(len(perms[0]), PRIME, np.int64)
+    for at in range(0, len(h), 1024):  # in slices, so that a long text needs no huge table
+        np.minimum(low, ((h[at : at + 1024, None] * perms[0] + perms[1]) % PRIME).min(axis=0), out=low)
+    return low
+
+
 def signatures(df: DataFrame, id_col: str, text: Column, n: int = 64, k: int = 5) -> DataFrame:
     """(id, sig): min-hashes of the distinct k-word shingles of the normalised text; texts without words have none."""
-    words = F.filter(F.split(normalise_near_dup(text), " "), lambda w: w != "")
-    h = df.select(F.col(id_col).alias("id"), F.transform(shingles(words, k), base_hash).alias("h"), F.size(words).alias("_w")).where("_w > 0")
+    a, b = zip(*permutations(n))
+    perms = np.array(a, np.int64), np.array(b, np.int64)
 
-    def least(a: int, b: int) -> Column:
-        return F.array_min(F.transform("h", lambda x: (x * F.lit(a) + F.lit(b)) % PRIME))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            rows = [(i, s) for i, t in zip(x.column(0).to_pylist(), x.column(1).to_pylist()) if (s := signature(t, perms, k)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.list_(pa.int64()))], ["id", "sig"])
 
-    return h.select("id", F.array(*[least(a, b) for a, b in permutations(n)]).alias("sig"))
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), normalise_near_dup(text).alias("t"))
+    return spread(rows).mapInArrow(run, "id long, sig array<long>")
 
 
 def candidates(sigs: DataFrame, bands: int = 5, rows: int = 11) -> DataFrame:
     """(a, b): pairs that agree on a band. Ids with equal signatures are linked in a chain first, so that a family of equal
     texts gives links in proportion to its size; only one of each signature is paired by bands."""
+    sigs = cut(sigs)
     one = sigs.groupBy("sig").agg(F.min("id").alias("id"))
     same = sigs.join(one.withColumnRenamed("id", "a"), "sig").where("id <> a").select("a", F.col("id").alias("b"))
     band = F.explode(F.array(*[F.xxhash64(F.lit(i), F.slice("sig", i * rows + 1, rows)) for i in range(bands)])).alias("band")
@@ -64,6 +87,7 @@ def clusters(sigs: DataFrame, bands: int = 5, rows: int = 11) -> DataFrame:
 
 def cluster_profile(sigs: DataFrame, bands: int = 5, rows: int = 11) -> DataFrame:
     """One row: texts, clusters, texts in clusters, near-duplicates (one of each cluster is kept) and their share."""
+    sigs = cut(sigs)
     c = clusters(sigs, bands, rows).agg(F.count("*").alias("clustered"), F.countDistinct("component").alias("clusters"))
     return sigs.agg(F.count("*").alias("texts")).join(F.broadcast(c)).select("texts", "clusters", "clustered", (F.col("clustered") - F.col("clusters")).alias("near_duplicates"), ((F.col("clustered") - F.col("clusters")) / F.greatest("texts", F.lit(1))).alias("share"))
 
@@ -73,6 +97,7 @@ def sampled_rate(sigs: DataFrame, rows: int, partners: int, seed: int, threshold
 
     Texts are dealt to slots by a hash; text and partner meet by slot, so each text meets `partners` others on average.
     """
+    sigs = cut(sigs)
     n = sigs.count()
     slots = max(1, n // max(1, partners))
     s = sigs.withColumn("_k", draw_key(seed, "id")).orderBy("_k", "id").limit(rows).drop("_k")

@@ -206,11 +206,11 @@ def caption_lines(s, d):
     return table(s, d, "captions").select("caption_id", T.image_id_of(F.col("file_name")).alias("file_id"), T.padded_id(F.col("image_id")).alias("padded"), T.sanitise_line(F.col("caption")).alias("line"))
 
 
-@query(r"""WITH a AS (SELECT pair_id, lower(coalesce(chosen, '')) AS t FROM preference_pairs), f AS (SELECT regexp_matches(t, 'as an ai|i (can''?t|cannot|am not able)|i don''?t have|cannot see|no image|without (the|an) image|unable to|not (able to|possible) (to )?(determine|answer|see|provide)') AS refusal, trim(t) = '' AS empty, regexp_matches(t, 'maybe|perhaps|possibly|could be|might be') AS hedge FROM a)
+@query(r"""WITH a AS (SELECT pair_id, lower(coalesce(chosen, '')) AS t FROM preference_pairs), f AS (SELECT regexp_matches(t, 'as an ai|i (can''?t|cannot|am not able)|i don''?t have|cannot see|no image|without (the|an) image|unable to|not (able to|possible) (to )?(determine|answer|see|provide)') AS refusal, regexp_full_match(t, '[\s\p{Z}]*') AS empty, regexp_matches(t, 'maybe|perhaps|possibly|could be|might be') AS hedge FROM a)
 SELECT count(*) AS n, count_if(refusal) AS refusals, count_if(empty) AS empties, count_if(NOT refusal AND NOT empty AND NOT hedge) AS concrete FROM f""")
 def refusal_rates(s, d):
     t = F.lower(F.coalesce("chosen", F.lit("")))
-    p = table(s, d, "preference_pairs").select(T.is_refusal(t).alias("refusal"), (F.trim(t) == "").alias("empty"), T.is_hedge(t).alias("hedge"))
+    p = table(s, d, "preference_pairs").select(T.is_refusal(t).alias("refusal"), t.rlike(r"^[\s\p{Z}]*$").alias("empty"), T.is_hedge(t).alias("hedge"))
     return p.agg(F.count("*").alias("n"), F.count_if("refusal").alias("refusals"), F.count_if("empty").alias("empties"), F.count_if(~F.col("refusal") & ~F.col("empty") & ~F.col("hedge")).alias("concrete"))
 
 
