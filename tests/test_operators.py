@@ -125,3 +125,14 @@ def test_signatures_and_clusters(spark):
     assert comps[1] == comps[2] == 1 and 4 not in comps
     assert D.cluster_profile(sigs).first()["texts"] == 5
     assert 0 <= D.sampled_rate(sigs, 10, 2, 1).first()["rate"] <= 1
+
+
+def test_experiment():
+    from weftline.plans.builders import Experiment
+
+    ok = {"name": "x", "pretrain": {"epochs": 1}, "sft": {"fast": True}, "grpo": {"target_kl": 0.1}, "evaluation": {"conditions": ["correct", "black"]}}
+    env = Experiment.of(ok).environment()
+    assert env["SEED"] == "42" and env["SFT_FAST"] == "1" and env["EVALUATION_CONDITIONS"] == "correct black"
+    for bad in ({**ok, "grpo": {"target_kl": 0}}, {**ok, "evaluation": {"conditions": ["blue"]}}, {"name": "x"}):
+        with pytest.raises(ValueError):
+            Experiment.of(bad)

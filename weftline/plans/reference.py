@@ -19,6 +19,7 @@ from weftline.operators import grading as G
 from weftline.operators import metrics as M
 from weftline.operators import relational as R
 from weftline.operators import rewards as RW
+from weftline.plans import builders as B
 from weftline.session import table
 from weftline.streaming import state as S
 
@@ -558,6 +559,41 @@ def dependency_report(s, d):
     return n.agg(F.count("*").alias("n"), r6(F.avg((F.sort_array("a") != F.sort_array("b")).cast("double"))).alias("change_rate"), r6(F.avg(M.jaccard_distance(F.col("a"), F.col("b")))).alias("mean_distance"))
 
 
+# --- Builders -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {VOTES_SQL}, c AS (SELECT question_id, answer, count(*) AS n, min(pos) AS p FROM v GROUP BY ALL), r AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY n DESC, p, answer) = 1), q AS (SELECT question_id, image_id, question FROM vqa_questions QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY coalesce(ingested_at, TIMESTAMPTZ '9999-01-01 00:00:00+00'), question) = 1),
+a AS (SELECT 'vqa' AS task, q.question_id AS id, image_id, '<image>' || chr(10) || question || ' Answer briefly.' AS u FROM q JOIN r USING (question_id) WHERE question IS NOT NULL AND image_id IS NOT NULL), b AS (SELECT 'caption' AS task, caption_id AS id, image_id, '<image>' || chr(10) || 'Describe the image.' AS u FROM captions WHERE image_id IS NOT NULL AND trim(caption) <> '' QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY md5(concat_ws(':', '42', caption_id::VARCHAR)), caption_id) = 1)
+SELECT task, id, image_id FROM (SELECT * FROM a UNION ALL SELECT * FROM b) QUALIFY row_number() OVER (PARTITION BY task, image_id, u ORDER BY id) = 1""")
+def multitask_mix(s, d):
+    q = R.first_per_key(table(s, d, "vqa_questions"), ["question_id"], [F.coalesce("ingested_at", F.lit("9999-01-01").cast("timestamp")), F.col("question")])
+    parts = [B.question_answer_rows(q, _votes(s, d), 0, 42, " Answer briefly."), B.caption_rows(table(s, d, "captions"), 0, 42, "Describe the image.")]
+    return B.multitask(parts, 42).select("task", "id", "image_id")
+
+
+@query(f"""WITH {SCENES_SQL}, many AS (SELECT l_orderkey FROM have GROUP BY 1 HAVING count(*) >= 3), pool AS (SELECT DISTINCT p_brand AS brand FROM part), ab AS (SELECT m.l_orderkey, p.brand FROM many m, pool p WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.l_orderkey = m.l_orderkey AND h.brand = p.brand)), ng AS (SELECT * FROM ab QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY md5(concat_ws(':', '1', l_orderkey::VARCHAR, brand)), brand) <= 3)
+SELECT l_orderkey, brand, label, 'Is there a ' || brand || ' in the image?' AS question FROM (SELECT h.*, 'yes' AS label FROM have h SEMI JOIN many USING (l_orderkey) UNION ALL SELECT *, 'no' FROM ng)""")
+def existence_questions(s, d):
+    sc = _many(_scenes(s, d))
+    pool = table(s, d, "part").select(F.col("p_brand").alias("brand")).distinct()
+    return B.existence_questions(sc, R.negatives(sc, "l_orderkey", "brand", 3, 1, pool), "l_orderkey", "brand")
+
+
+@query("""WITH d AS (SELECT pair_id AS id, CASE WHEN starts_with(lower(trim(chosen)), 'yes') THEN 'yes' WHEN starts_with(lower(trim(chosen)), 'no') THEN 'no' END AS chosen FROM preference_pairs) SELECT id, chosen, CASE WHEN chosen = 'yes' THEN 'no' ELSE 'yes' END AS rejected FROM d WHERE chosen IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chosen ORDER BY md5(concat_ws(':', '42', id::VARCHAR)), id) <= 20""")
+def existence_preference_pairs(s, d):
+    return B.opposite_pairs(table(s, d, "preference_pairs"), "pair_id", "chosen", 20, 42)
+
+
+@query(None)
+def reward_subset(s, d):
+    return B.reward_subset(table(s, d, "sft_i2t"), 100, 42).select("row_id", "task")
+
+
+@query("SELECT pair_id, ((row_number() OVER (ORDER BY md5(concat_ws(':', '5', pair_id::VARCHAR)), pair_id) - 1) // 32)::BIGINT AS batch FROM preference_pairs QUALIFY batch >= 2")
+def resumed_batches(s, d):
+    return B.batches(table(s, d, "preference_pairs").select("pair_id"), 32, 2, 5, "pair_id")
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in Q.items()}
 
