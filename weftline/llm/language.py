@@ -34,6 +34,8 @@ LANGS = ("de", "en", "es", "fr", "zh")
 SAMPLE_ROWS, CLUSTERS, DIMS, GRAMS = 6000, 32, 1 << 15, 3
 #: Times that a whole word counts beside its n-grams.
 WORD_WEIGHT = 2
+#: Confidence from which the mean centroids decide.
+CLEAR = 0.95
 #: Words (Chinese: characters) from which a stretch counts as a sentence, and from which a quotation is one, and confidence from which a sentence counts.
 SENTENCE_WORDS, QUOTED_WORDS, SURE = 4, 6, 0.65
 
@@ -43,6 +45,7 @@ _END = re.compile(f"(?<=[.!?])[\"'”’»)\\]]*\\s+|(?<=[。！？])[\"'”’
 _QUOTES = re.compile("(?<!\\w)['‘’‚]([^'‘’\n]{1,300}?)['‘’](?!\\w)|[\"“”„«]([^\"“”»\n]{1,300}?)[\"“”»]|「([^」\n]{1,300}?)」|『([^』\n]{1,300}?)』")
 _WORD = re.compile(f"[{CJK}]|[^\\W\\d_{CJK}]+(?:['’][^\\W\\d_{CJK}]+)*")
 _RUN = re.compile(f"[{CJK}][^A-Za-zÀ-ÿ]*|[A-Za-zÀ-ÿ][^{CJK}]*")
+_CHINESE, _LATIN = re.compile(f"[{CJK}]"), re.compile(r"[A-Za-zÀ-ÿ]+")
 _SPACE = re.compile(r"[\W\d_]+")
 
 
@@ -52,7 +55,7 @@ def n_words(text: str) -> int:
 
 def by_script(text: str) -> list[str]:
     """The text, cut where it changes between Chinese and Latin script for at least a sentence's length."""
-    if not re.search(f"[{CJK}]", text) or len(re.findall(r"[A-Za-zÀ-ÿ]+", text)) < SENTENCE_WORDS:
+    if not _CHINESE.search(text) or len(_LATIN.findall(text)) < SENTENCE_WORDS:
         return [text]
     parts: list[list[str]] = []
     for run in _RUN.findall(text):
@@ -129,20 +132,44 @@ class Model:
     idf: np.ndarray
     floor: np.ndarray  # least accepted cosine by length class
 
+    def __post_init__(self) -> None:
+        c = np.stack([self.centroids[:, self.of == k].mean(axis=1) for k in range(len(self.langs))], axis=1)
+        self.coarse = (c / np.maximum(1e-9, np.sqrt((c * c).sum(axis=0)))).astype(np.float32)
+
     def cosines(self, texts: list[str]) -> np.ndarray:
-        """Cosine of each text with the nearest centroid of each language."""
+        """Cosine of each text with each language: with the mean of its centroids where that already tells the language
+        clearly, else with the nearest of them."""
         out = np.zeros((len(texts), len(self.langs)), np.float32)
         for at in range(0, len(texts), 2048):
             part = [clean(t) for t in texts[at : at + 2048]]
             row, dim, w = weights(part, self.idf)
             if not len(row):
                 continue
-            dots = _dots(row, dim, w, self.centroids, len(part))
-            for k in range(len(self.langs)):
-                out[at : at + len(part), k] = dots[:, self.of == k].max(axis=1)
+            cos = _dots(row, dim, w, self.coarse, len(part))
+            _, top, conf = confidence(cos)
+            floor = self.floor[[length_class(t) for t in part]]
+            ask = ~((conf >= CLEAR) & (top >= floor) & np.array([t.count(" ") > SENTENCE_WORDS or n_words(t) >= SENTENCE_WORDS for t in part]))
+            if ask.any():
+                keep = ask[row]
+                number = np.cumsum(ask) - 1
+                fine = _dots(number[row[keep]], dim[keep], w[keep], self.centroids, int(ask.sum()))
+                cos[ask] = np.stack([fine[:, self.of == k].max(axis=1) for k in range(len(self.langs))], axis=1)
+            out[at : at + len(part)] = cos
         return out
 
 
+def confidence(cos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(best, its cosine, confidence) by the gap between the two nearest languages, relative to the nearest: cosines grow with
+    the length of the text, and so does the gap."""
+    best = cos.argmax(axis=1)
+    at = np.arange(len(cos))
+    top = cos[at, best]
+    rest = cos.copy()
+    rest[at, best] = -1
+    second = np.maximum(rest.max(axis=1), 0)
+    return best, top, 1 / (1 + np.exp(-8 * (top - second) / np.maximum(top, 1e-6)))
+
+
 def weights(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     row, dim, count = grams(texts)
     w = (1 + np.log(np.maximum(count, 1))) * idf[dim]
@@ -164,11 +191,12 @@ def _means(row: np.ndarray, dim: np.ndarray, w: np.ndarray, part: np.ndarray, k:
 def _dots(row: np.ndarray, dim: np.ndarray, w: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     """Products of n texts with the columns of c; `row` is sorted."""
     out = np.zeros((n, c.shape[1]), np.float32)
+    step = max(16, 4096 // c.shape[1])  # slices that stay in the cache
     starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
     ends = np.r_[starts[1:], len(row)]
-    for at in range(0, len(starts), 1024):
-        s, e = starts[at], ends[min(at + 1024, len(starts)) - 1]
-        out[row[starts[at : at + 1024]]] = np.add.reduceat(c[dim[s:e]] * w[s:e, None], starts[at : at + 1024] - s, axis=0)
+    for at in range(0, len(starts), step):
+        s, e = starts[at], ends[min(at + step, len(starts)) - 1]
+        out[row[starts[at : at + step]]] = np.add.reduceat(c[dim[s:e]] * w[s:e, None], starts[at : at + step] - s, axis=0)
     return out
 
 
@@ -334,16 +362,10 @@ def languages_of(turns: list[tuple[int, str, str]], found: dict[str, tuple[str |
 def classify(texts: list[str], model: Model) -> dict[str, tuple[str | None, float]]:
     """Language and confidence of each text; None where the distance to every centroid is too large."""
     texts = list(dict.fromkeys(texts))
-    cos = model.cosines(texts)
     out: dict[str, tuple[str | None, float]] = {}
     if not texts:
         return out
-    best = cos.argmax(axis=1)
-    top = cos[np.arange(len(texts)), best]
-    cos[np.arange(len(texts)), best] = -1
-    second = np.maximum(cos.max(axis=1), 0)
-    # Cosines grow with the length of the text, so does the gap between them.
-    conf = 1 / (1 + np.exp(-8 * (top - second) / np.maximum(top, 1e-6)))
+    best, top, conf = confidence(model.cosines(texts))
     for i, t in enumerate(texts):
         out[t] = (model.langs[best[i]], float(conf[i])) if top[i] >= model.floor[length_class(t)] and top[i] > 0 else (None, 0.0)
     return out
