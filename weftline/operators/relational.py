@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.session import cut
+
 
 def draw_key(seed: int, *ids: str) -> Column:
     """Pseudo-random order of rows: a hash of the seed and the ids."""
@@ -84,10 +86,20 @@ def ranked_answers(votes: DataFrame, key: str, answer: str, position: str) -> Da
 
 
 def next_cyclic(df: DataFrame, order: str, value: str, out: str, *partition: str) -> DataFrame:
-    """The value of the next row, the first row following the last."""
-    w = W.partitionBy(*partition).orderBy(order)
-    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return df.withColumn(out, F.coalesce(F.lead(value).over(w), F.first(value).over(whole)))
+    """The value of the next row, the first row following the last.
+
+    No window over whole keys, one of which may hold most rows: key and order are cut into ranges (`_block`), rows are ranked
+    inside their range, and the last row of a range takes the head of the key's next range, found among the heads alone.
+    """
+    rows = cut(df.repartitionByRange(*partition, order).withColumn("_block", F.spark_partition_id()))
+    w = W.partitionBy("_block", *partition).orderBy(order)
+    rows = rows.withColumns({"_no": F.row_number().over(w), "_next": F.lead(value).over(w), "_last": F.lead(F.lit(True)).over(w).isNull()})
+    heads = W.partitionBy(*partition).orderBy("_block")
+    whole = heads.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    ends = rows.where("_no = 1").select(F.col("_block").alias("_b"), *[F.col(p).alias(f"_p{i}") for i, p in enumerate(partition)], F.lead(value).over(heads).alias("_head"), F.first(value).over(whole).alias("_first"))
+    on = [F.col("_block") == F.col("_b"), *[F.col(p).eqNullSafe(F.col(f"_p{i}")) for i, p in enumerate(partition)]]
+    following = F.coalesce(F.when(F.col("_last"), F.col("_head")).otherwise(F.col("_next")), F.col("_first"))
+    return rows.join(ends, on).select(*df.columns, following.alias(out))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
