@@ -1,10 +1,12 @@
 """Whole jobs: no group, kind of text or part of a text is left out."""
 
+import json
 import os
 
 import pytest
 
 import __spark_entry__ as entry
+from weftline.llm import pairs as P
 from weftline.operators import relational as R
 
 DATA = "/root/testdata/sf0.001"
@@ -34,3 +36,22 @@ def test_cyclic_lead_over_every_image(spark):
     got = entry.queries()["cyclic_lead_all"](spark, DATA)
     assert got.count() == docs.count()
     assert got.select("image_id", "next_id").exceptAll(docs.select("image_id", "doc_id")).count() == 0
+
+
+@pytest.mark.parametrize("text, want", [
+    ("Run this:\n```\nx = 1.", True), ("A tree (near the wall.", True), ("A sign says “Stop. No way.", True), ("看图（左边是树。", True), ("It shows [1] (a tree.", True),
+    ("A tree (near the wall).", False), ("'Tis a dog.", False), ('A 5" pipe.', False), ('Da steht „Halt".', False), ("Da steht »Halt«.", False), ("In [0, 1).", False), ("a) one b) two.", False), ("The “(” key is red.", False), ("The label reads\n883.", False),
+])
+def test_open_in_spite_of_a_final_stop(text, want):
+    assert (P.broken_off(text, P.Endings()) == ("truncated", None)) is want
+
+
+def test_short_tails_of_longer_answers(spark):
+    base = [f"The {a} stands near the {b}. A {b} was placed on the {a} this morning." for a in ("dog", "cat", "bus", "sofa", "lamp") for b in ("wall", "tree", "pond", "door")]
+    q = "Describe the picture please."
+    talks = [(i, json.dumps([{"role": "user", "content": q}, {"role": "assistant", "content": t}]), "en") for i, t in enumerate(base)]
+    pairs = [(1, q, "The dog stands near the wall. A tree was", "The dog stands near the wall. The"), (2, q, "The dog stands near the wall. A door", "a door"), (3, "What is it?", "What is it? The dog", "The dog")]
+    p = spark.createDataFrame([(*x, b"z") for x in pairs], "pair_id long, prompt string, chosen string, rejected string, src binary")
+    got = {tuple(r) for r in P.defects(p, spark.createDataFrame(talks, "row_id long, conversations string, lang string")).collect()}
+    assert {x[1:] for x in got} >= {(1, "chosen", "truncated"), (1, "rejected", "truncated")}
+    assert not [x for x in got if x[1:3] in ((2, "rejected"), (3, "rejected"), (3, "chosen"))]

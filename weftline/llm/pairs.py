@@ -11,6 +11,7 @@ Every answer gets at most one defect, the first that holds of:
 * `other_language`: a script check, else the centroid classifier of problem 1 on question and answer (only where a quick
   word vote does not already agree); not if the question asks for that language.
 * `truncated`: a pushdown parser over fences, brackets, quotations, lists and markup finds what is left open at the end;
+  (behind a final stop, in a fence, bracket or quotation);
   a text that closes everything but has no final stop is held against the counts, over all answers, of how often a sentence
   ends or goes on after the same words.
 
@@ -64,6 +65,7 @@ _ANNOUNCE = re.compile(
     r"^\W*(?:(?:you|he|she|they) (?:asked|are asking|ask|wrote|said)|(?:the |your |my )?(?:question|prompt|q|instruction)(?: is| was)?|frage|die frage(?: lautet| ist)?|sie fragen|du fragst|ihre frage|pregunta|la pregunta es|usted pregunta|preguntas|question posée|la question est|vous demandez|tu demandes|您问的是|你问的是|您的问题是|你的问题是|问题是|问题|问)\s*[:：,，]?\s*", re.I)
 _TOKEN = re.compile(f"[{lid.CJK}]|[^\\W_{lid.CJK}]+")
 _STOPPED = re.compile(r"[.!?。！？][\"'”’»）)\]」』*_`\s]*$")
+_ASKED = re.compile(r"[?？]\W*$")
 _FADED = re.compile(r"(?:\s*(?:\.{2,}|…+|[!?！？]{2,}|\s[.!?。]+))+\s*$")
 _SENTENCES = re.compile(r"(?<=[.!?])[\"'”’»)\]]*\s+|(?<=[。！？])[\"'”’»）\]]*|\n{2,}")
 _CAPS = re.compile(r"[A-ZÀ-ÞŒ]")
@@ -71,6 +73,7 @@ _DEAD_END = re.compile(r"[,;:，；：、/&+=]\s*$|\s[-–—]\s*$|(?:^|\n)\s*(?
 
 OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "「": "」", "『": "』", "“": "”", "«": "»", "„": "“"}
 CLOSE = set(OPEN.values())
+_MARKS = re.compile("[" + re.escape("".join({*OPEN, *CLOSE, '"', "”"})) + "]")
 
 
 def left_open(text: str) -> bool:
@@ -109,6 +112,24 @@ def left_open(text: str) -> bool:
     return bool(stack or tags) or bool(_DEAD_END.search(text))
 
 
+def ends_inside(text: str) -> bool:
+    """Does a text with a final stop end inside a fence, bracket or quotation? Any closing mark closes the nearest one open, as
+    in [0, 1); straight quotation marks, tags and list numbers also stand alone and tell nothing here."""
+    if text.count("```") % 2:
+        return True
+    reverse = -1 < text.find("»") < text.find("«")
+    open_marks: list[str] = []
+    for m in _MARKS.finditer(text):
+        c, before, after = m[0], text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
+        if c in OPEN and not (c == "“" and open_marks[-1:] == ["„"]):
+            face, named = before in (":", ";") and c in "([", before in tuple("\"'“‘«") and after in tuple("\"'”’»")
+            if not (face or named or reverse and c == "«"):
+                open_marks.append(c)
+        elif open_marks and (c != '"' or open_marks[-1] in "“„"):
+            open_marks.pop()
+    return bool(open_marks)
+
+
 def words_of(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
@@ -352,11 +373,12 @@ class Endings:
         c = np.stack([a | np.uint64(1), (b * MIX) & ~np.uint64(3) | np.uint64(2), ids & ~np.uint64(3)])
         return c[:, word].view(np.int64), np.r_[stop[1:], False][word]
 
-    def of_last(self, sentence: str) -> list[int] | None:
-        """Contexts of the last word of an unfinished sentence; None for a short answer, which stands by itself."""
+    def of_last(self, sentence: str, alone: bool = True) -> list[int] | None:
+        """Contexts of the last word of an unfinished sentence; None if it has no words, or `alone` for a short answer, which
+        stands by itself."""
         n = [x for x in self.numbers(sentence) if x != STOP]
         chinese = re.match(f"\\W*[{lid.CJK}]", sentence) is not None
-        if len(n) < (6 if chinese else 4):
+        if not n or alone and len(n) < (6 if chinese else 4):
             return None
         ids = np.array([self.first_id[n[0]], *(self.inner_id[x] for x in n[1:]), 0], np.uint64)
         c = self.contexts(np.arange(len(ids)) == len(n), ids)[0][:, -1].tolist()
@@ -406,13 +428,15 @@ def broken_off(answer: str, endings: Endings) -> tuple[str | None, list[int] | N
     faded = len(tail) != min(80, len(answer))
     bare = answer[:-80] + tail if faded else answer
     stopped = not faded and _STOPPED.search(answer[-40:]) is not None
-    endings.add(answer, stopped)
+    inside = ends_inside(bare) if stopped else left_open(bare)
+    endings.add(answer, stopped and not inside)
+    if inside:
+        return "truncated", None
     if stopped:
         return None, None
-    if left_open(bare):
-        return "truncated", None
     parts = [s for s in _SENTENCES.split(bare) if s and s.strip()]
-    return None, endings.of_last(parts[-1]) if parts else None
+    # An answer stands alone also behind a question that it restates.
+    return None, endings.of_last(parts[-1], all(_ASKED.search(s) for s in parts[:-1])) if parts else None
 
 
 def judge(pairs: list[tuple[str | None, str | None]], speaker: Speaker, endings: Endings) -> list[tuple[str | None, list[int] | None]]:
