@@ -2,10 +2,13 @@
 
 import json
 import os
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from weftline.functions import text as T
 from weftline.llm import pairs as P
 from weftline.operators import relational as R
 
@@ -55,3 +58,28 @@ def test_short_tails_of_longer_answers(spark):
     got = {tuple(r) for r in P.defects(p, spark.createDataFrame(talks, "row_id long, conversations string, lang string")).collect()}
     assert {x[1:] for x in got} >= {(1, "chosen", "truncated"), (1, "rejected", "truncated")}
     assert not [x for x in got if x[1:3] in ((2, "rejected"), (3, "rejected"), (3, "chosen"))]
+
+
+ANSWERS = ["答案是A", "答案：B。", "选 C", "Désolé, fermé", "für d’eau", "L'île B", "É A", "Ü_A A_", "answer\u00a0:\u3000c", "Answer -d", "ANSWER b", "(D)", "A", "", None, "Beide: a, b", "x\u00a0A\u00a0y", "½A", "评分：４.５分"]
+
+
+def test_choice_letter_in_any_script(spark):
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(ANSWERS)], "i int, t string")
+    got = {r["i"]: (r["a"], r["b"]) for r in d.select("i", T.choice_letter(F.col("t")).alias("a"), T.choice_letter_any_case(F.col("t")).alias("b")).collect()}
+    for i, t in enumerate(ANSWERS):
+        t = t or ""
+        m = re.search(r"\b([ABCD])\b", t) or re.search(r"answer\s*[:\-]?\s*([ABCD])", t, re.I)
+        n = re.search(r"\b([A-Da-d])\b", t)
+        assert got[i] == (m and m[1], n[1].upper() if n else ""), t
+
+
+@pytest.mark.parametrize("name", ["choice_letter_all", "preference_quality_all"])
+def test_pairs_of_any_script_against_sql(spark, name, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(i, t, u) for i, (t, u) in enumerate(zip(["two words", "no\u00a0break", "宽\u3000格", "one", None, "yes", "a b\u200b"] * 3, ANSWERS))]
+    spark.createDataFrame(rows, "pair_id long, chosen string, rejected string").coalesce(1).write.parquet(str(tmp_path / "preference_pairs.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW preference_pairs AS SELECT * FROM read_parquet('{tmp_path}/preference_pairs.parquet/*.parquet')")
+    got = entry.queries()[name](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(con.execute(entry.oracle_sql()[name]).fetchall(), key=str)
+    assert got.count() == (len(rows) if name == "choice_letter_all" else len([1 for _, c, r in rows if len((c or "").split()) > 1 and (r or "").split()]))

@@ -77,19 +77,25 @@ def yes_no_normalised(text: Column) -> Column:
     return F.when(t.startswith("yes"), "yes").when(t.startswith("no"), "no").otherwise("unknown")
 
 
+#: Around a standalone letter, in any script: the ends of the text, or what is no letter, digit or underscore. Said without `\\b`,
+#: which engines understand differently.
+ALONE = r"(?:^|[^\p{L}\p{N}_])([%s])(?:$|[^\p{L}\p{N}_])"
+
+
 def choice_letter(text: Column) -> Column:
     """First standalone upper-case A to D, else the letter after `answer`, in its own case; NULL if there is none."""
     t = F.trim(F.coalesce(text, F.lit("")))
-    return F.coalesce(F.nullif(F.regexp_extract(t, r"\b([ABCD])\b", 1), F.lit("")), F.nullif(F.regexp_extract(t, r"(?i)answer\s*[:\-]?\s*([ABCD])", 1), F.lit("")))
+    return F.coalesce(F.nullif(F.regexp_extract(t, ALONE % "ABCD", 1), F.lit("")), F.nullif(F.regexp_extract(t, rf"(?iu)answer(?:{SPACES})?[:\-]?(?:{SPACES})?([ABCD])", 1), F.lit("")))
 
 
 def choice_letter_any_case(text: Column) -> Column:
-    return F.upper(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?i)\b([A-D])\b", 1))
+    return F.upper(F.regexp_extract(F.coalesce(text, F.lit("")), ALONE % "A-Da-d", 1))
 
 
 def judge_score(text: Column, default: float = 3.0) -> Column:
-    """First number of a text."""
-    return F.coalesce(F.regexp_extract(F.coalesce(text, F.lit("")), r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double"), F.lit(default))
+    """First number of a text, in plain or full-width digits."""
+    t = F.translate(F.coalesce(text, F.lit("")), "０１２３４５６７８９", "0123456789")
+    return F.coalesce(F.regexp_extract(t, r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double"), F.lit(default))
 
 
 def image_id_of(file_name: Column) -> Column:

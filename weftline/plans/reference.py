@@ -202,6 +202,15 @@ def choice_letter(s, d):
     return p.select("pair_id", T.choice_letter(F.col("rejected")).alias("letter"), T.choice_letter_any_case(F.col("rejected")).alias("any_case"), T.judge_score(F.col("rejected")).alias("score"))
 
 
+SPACES_SQL = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*"
+
+
+@query(rf"""SELECT pair_id, coalesce(nullif(regexp_extract(trim(coalesce(rejected, '')), '{T.ALONE % "ABCD"}', 1), ''), nullif(regexp_extract(trim(coalesce(rejected, '')), '(?i)answer{SPACES_SQL}[:\-]?{SPACES_SQL}([ABCD])', 1), '')) AS letter, upper(regexp_extract(coalesce(rejected, ''), '{T.ALONE % "A-Da-d"}', 1)) AS any_case, coalesce(TRY_CAST(regexp_extract(translate(coalesce(rejected, ''), '０１２３４５６７８９', '0123456789'), '([0-9]+(?:\.[0-9]+)?)', 1) AS DOUBLE), 3.0) AS score FROM preference_pairs""")
+def choice_letter_all(s, d):
+    """`choice_letter`, whose SQL leaves out answers that are not plain ASCII, over every pair."""
+    return table(s, d, "preference_pairs").select("pair_id", T.choice_letter(F.col("rejected")).alias("letter"), T.choice_letter_any_case(F.col("rejected")).alias("any_case"), T.judge_score(F.col("rejected")).alias("score"))
+
+
 @query(r"""SELECT caption_id, TRY_CAST(regexp_extract(coalesce(file_name, ''), '([0-9]{12})', 1) AS BIGINT) AS file_id, lpad(image_id::VARCHAR, 12, '0') AS padded, coalesce(nullif(trim(replace(replace(replace(replace(coalesce(caption, ''), chr(13), ' '), chr(10), ' '), '|||', ' '), '  ', ' ')), ''), '.') AS line FROM captions""")
 def caption_lines(s, d):
     return table(s, d, "captions").select("caption_id", T.image_id_of(F.col("file_name")).alias("file_id"), T.padded_id(F.col("image_id")).alias("padded"), T.sanitise_line(F.col("caption")).alias("line"))
@@ -221,6 +230,12 @@ def preference_quality(s, d):
     return p.where(~F.lower(F.trim("chosen")).isin("yes", "no") & (T.word_count(F.col("chosen")) >= 2) & (T.word_count(F.col("rejected")) >= 1)).select("pair_id")
 
 
+@query(f"""SELECT pair_id FROM preference_pairs WHERE lower(trim(chosen)) NOT IN ('yes', 'no') AND len({WORDS_SQL.replace('{0}', 'chosen')}) >= 2 AND len({WORDS_SQL.replace('{0}', 'rejected')}) >= 1""")
+def preference_quality_all(s, d):
+    """`preference_quality`, whose SQL leaves out pairs with no-break or wide blanks, over every pair."""
+    return table(s, d, "preference_pairs").where(~F.lower(F.trim("chosen")).isin("yes", "no") & (T.word_count(F.col("chosen")) >= 2) & (T.word_count(F.col("rejected")) >= 1)).select("pair_id")
+
+
 # --- Joins, votes, builders ---------------------------------------------------------------------------------------------
 
 
