@@ -83,3 +83,18 @@ def test_pairs_of_any_script_against_sql(spark, name, tmp_path):
     got = entry.queries()[name](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(con.execute(entry.oracle_sql()[name]).fetchall(), key=str)
     assert got.count() == (len(rows) if name == "choice_letter_all" else len([1 for _, c, r in rows if len((c or "").split()) > 1 and (r or "").split()]))
+
+
+def test_near_duplicates_at_the_threshold(spark, tmp_path):
+    rows = []
+    for n in range(40):
+        words = [f"w{n}x{i}" for i in range(104)]
+        two, three = ([f"z{n}{w}" if i in at else w for i, w in enumerate(words)] for at in ((30, 70), (20, 50, 80)))
+        # 90 of 110 shingles in common, then with texts of their own 85 of 115.
+        rows += [(4 * n, " ".join(words)), (4 * n + 1, " ".join(two).upper()), *((4 * n + i, " ".join(f"v{w}" for w in t)) for i, t in ((2, words), (3, three)))]
+    rows += [(900, "one two"), (901, "One, two!"), (902, "one"), (903, None), (904, " ? ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["id"]: r["component"] for r in entry.queries()["near_dup_clusters"](spark, str(tmp_path)).collect()}
+    assert got == {i + j: i for i in range(0, 160, 4) for j in (0, 1)} | {900: 900, 901: 900}
+    p = entry.queries()["near_dup_profile"](spark, str(tmp_path)).first()
+    assert (p["texts"], p["clusters"], p["clustered"], p["near_duplicates"]) == (163, 41, 82, 41)

@@ -83,9 +83,9 @@ def _texts(min_words: int):
     return run
 
 
-def _coefficients() -> tuple[np.ndarray, np.ndarray]:
+def _coefficients(bands: int = BANDS) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(20240601)
-    n = BANDS * ROWS
+    n = bands * ROWS
     return r.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), r.integers(0, 2**32, n, dtype=np.uint32)
 
 
@@ -98,8 +98,8 @@ def band_keys(runs: np.ndarray, a: np.ndarray, c: np.ndarray) -> np.ndarray:
         z ^= z >> np.uint32(15)
         z *= np.uint32(0x85EBCA6B)
         np.minimum(low, z.min(axis=0), out=low)
-    m = low.reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(BANDS, dtype=np.uint64)
+    m = low.reshape(-1, ROWS).astype(np.uint64)
+    key = np.arange(len(m), dtype=np.uint64)
     for j in range(ROWS):
         key = (key ^ m[:, j]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(31)
@@ -112,15 +112,18 @@ def point_of(runs: np.ndarray) -> tuple[bytes, int]:
     return np.minimum(v, 255).astype(np.uint8).tobytes(), int(np.maximum(v - 255, 0).sum())
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    a, c = _coefficients()
-    for b in batches:
-        for at in range(0, b.num_rows, 512):
-            part = b.slice(at, 512)
-            keys = [band_keys(np.frombuffer(x.as_py(), np.uint64), a, c) for x in part.column(1)]
-            if keys:
-                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(keys))], ["id", "cell"])
+def _cells(bands: int = BANDS):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, c = _coefficients(bands)
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                keys = [band_keys(np.frombuffer(x.as_py(), np.uint64), a, c) for x in part.column(1)]
+                if keys:
+                    ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), bands)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(keys))], ["id", "cell"])
+
+    return run
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,10 +280,10 @@ def distinct_texts(rows: DataFrame, id_col: str, text: Column, min_words: int) -
     return t.select("id", "digest").distinct(), texts
 
 
-def near_links(texts: DataFrame, threshold: float = 0.5) -> DataFrame:
+def near_links(texts: DataFrame, threshold: float = 0.5, bands: int = BANDS) -> DataFrame:
     """Links (a, b) between distinct texts that make the same components as all pairs of at least `threshold` similarity."""
     share = threshold / (1 + threshold)
-    cells = cut(spread(texts).mapInArrow(_cells, "id long, cell long"))
+    cells = cut(spread(texts).mapInArrow(_cells(bands), "id long, cell long"))
     shared = cells.groupBy("cell").agg(F.count("*").alias("k")).where("k > 1").select("cell")
     cells = cells.join(shared, "cell").distinct()
     vectors = texts.mapInArrow(_vectors, "id long, size long, point binary, over long")

@@ -502,12 +502,12 @@ def minhash_signature(s, d):
 
 @query(None)
 def near_dup_clusters(s, d):
-    return D.clusters(D.signatures(table(s, d, "documents"), "doc_id", F.col("text"), 64))
+    return D.near_clusters(D.shingled(table(s, d, "documents"), "doc_id", F.col("text")))
 
 
 @query(None)
 def near_dup_profile(s, d):
-    return D.cluster_profile(D.signatures(table(s, d, "documents"), "doc_id", F.col("text"), 64))
+    return D.near_profile(D.shingled(table(s, d, "documents"), "doc_id", F.col("text")))
 
 
 @query(None)
