@@ -98,3 +98,13 @@ def test_near_duplicates_at_the_threshold(spark, tmp_path):
     assert got == {i + j: i for i in range(0, 160, 4) for j in (0, 1)} | {900: 900, 901: 900}
     p = entry.queries()["near_dup_profile"](spark, str(tmp_path)).first()
     assert (p["texts"], p["clusters"], p["clustered"], p["near_duplicates"]) == (163, 41, 82, 41)
+
+
+@pytest.mark.parametrize("text, want", [
+    (" " * 61, True), ("\n\u3000\xa0" * 5000, True), ("-" * 80, True), ("- " * 200, True), ("_" * 70, True), ("." * 100, True), ("…！？" * 30, True), ("=" * 40 + " N/A " + "=" * 40, True), ("\n" * 60 + "没有答案。", True),
+    ("-" * 80 + " a dog", False), ("_" * 70 + "7", False), (" " * 5000 + "是", False), ("no answer " * 10, False), ("The dog stands near the wall. " * 2000, False),
+])
+def test_empty_at_any_length(text, want):
+    assert P.is_empty(text) is want
+    if want:
+        assert P.by_itself(text, "What is it?") == "empty"

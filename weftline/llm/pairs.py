@@ -26,6 +26,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,7 @@ _CUES = (" i ", " i'", " my ", " me", "something i", "puedo", "debo ", "tengo ",
 _ANNOUNCE = re.compile(
     r"^\W*(?:(?:you|he|she|they) (?:asked|are asking|ask|wrote|said)|(?:the |your |my )?(?:question|prompt|q|instruction)(?: is| was)?|frage|die frage(?: lautet| ist)?|sie fragen|du fragst|ihre frage|pregunta|la pregunta es|usted pregunta|preguntas|question posée|la question est|vous demandez|tu demandes|您问的是|你问的是|您的问题是|你的问题是|问题是|问题|问)\s*[:：,，]?\s*", re.I)
 _TOKEN = re.compile(f"[{lid.CJK}]|[^\\W_{lid.CJK}]+")
+_STAND_IN_WORDS = max(len(_TOKEN.findall(x)) for x in STAND_INS)
 _STOPPED = re.compile(r"[.!?。！？][\"'”’»）)\]」』*_`\s]*$")
 _ASKED = re.compile(r"[?？]\W*$")
 _FADED = re.compile(r"(?:\s*(?:\.{2,}|…+|[!?！？]{2,}|\s[.!?。]+))+\s*$")
@@ -192,10 +194,13 @@ def is_copy(answer: str, question: str) -> bool:
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
-    if len(answer) > 60:
+    if not _TOKEN.search(answer):
+        return True
+    # A stand-in has few words, whatever blanks and marks are around it.
+    words = [m[0].lower() for m in islice(_TOKEN.finditer(answer), _STAND_IN_WORDS + 1)]
+    if len(words) > _STAND_IN_WORDS:
         return False
-    words = words_of(answer)
-    return not words or " ".join(words) in STAND_INS or "".join(words) in STAND_INS and not words[0].isascii()
+    return " ".join(words) in STAND_INS or "".join(words) in STAND_INS and not words[0].isascii()
 
 
 def is_refusal(answer: str) -> bool:
