@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from weftline.functions import text as T
 from weftline.llm import pairs as P
+from weftline.llm import residue
 from weftline.operators import relational as R
 
 DATA = "/root/testdata/sf0.001"
@@ -108,3 +109,19 @@ def test_empty_at_any_length(text, want):
     assert P.is_empty(text) is want
     if want:
         assert P.by_itself(text, "What is it?") == "empty"
+
+
+FILLER = "lorem ipsum dolor sit amet placeholder text lorem ipsum sample caption dolor sit amet dummy paragraph ipsum lorem filler copy test title"
+NOUNS, PLACES = "dog cat bus lamp sofa kite drum goat boat bench tree door vase harp".split(), "wall pond road gate hill barn lake yard shop park".split()
+SAID = [f"the {a} stands near the {b} and" for b in PLACES for a in NOUNS]
+
+
+def test_overlong_messages_are_read_whole(spark):
+    filler = [" ".join([FILLER, word] * 6) for word in ("lorem", "ipsum", "asdf", "qwer")]
+    behind = " ".join(SAID[:18]) + " " + " ".join(filler)
+    before = filler[0] + " " + " ".join(SAID)
+    for t in (behind, before, "字" * 500, "a " * 121, "short one"):
+        assert "".join("".join(residue.messages(t)).split()) == "".join(t.split())
+        assert all(len(residue.masked(m)) <= 120 for m in residue.messages(t))
+    got = {r[0] for r in residue.residue_documents(spark.createDataFrame([(1, behind), (2, before), (3, " ".join(SAID))], "doc_id long, text string")).collect()}
+    assert got == {1}

@@ -65,8 +65,18 @@ _WRAPPED = re.compile(r"<(\w+)>([^<>]{3,})</\1>|\{\s*\"error\".*\"(?:message|det
 _LONG = 120
 
 
+def pieces(message: str) -> list[str]:
+    """A message of more than _LONG words in consecutive pieces of about the same number of words, at most _LONG; all of its text."""
+    at = [m.start() for m in _WORD.finditer(message)]
+    n = -(-len(at) // _LONG)
+    if n < 2:
+        return [message]
+    cuts = [0, *(at[len(at) * i // n] for i in range(1, n)), len(message)]
+    return [message[a:b].strip() for a, b in zip(cuts, cuts[1:])]
+
+
 def messages(text: str) -> list[str]:
-    """Sentences and lines of a text; a line that only wraps a message in a tag or a JSON error gives the message."""
+    """Sentences and lines of a text, overlong ones in pieces; a line that only wraps a message in a tag or a JSON error gives the message."""
     out = []
     for line in re.split(r"[\r\n]+", text):
         line = line.strip()
@@ -76,12 +86,12 @@ def messages(text: str) -> list[str]:
             out.append(m[2] or m[3])
         else:
             out += [s.strip() for s in _BREAK.split(line) if s.strip()]
-    return out
+    return [p for m in out for p in (pieces(m) if len(m) > _LONG else [m])]
 
 
 def masked(message: str) -> tuple[str, ...]:
-    """Words of a message, numbers and identifiers being wildcards (names become so as templates meet); long messages keep their first words."""
-    words = _WORD.findall(message)[:_LONG]
+    """Words of a message, numbers and identifiers being wildcards (names become so as templates meet)."""
+    words = _WORD.findall(message)
     return tuple(WILD if any(c.isdigit() for c in w) else w.lower() for w in words)
 
 
