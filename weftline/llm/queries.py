@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import language, mixing, packing, pairs, residue
+from weftline.llm import canonical, consensus, language, mixing, near, packing, pairs, residue, splits
 from weftline.session import table
 
 
@@ -15,6 +15,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": lambda s, d: language.mislabelled_or_mixed(table(s, d, "sft_i2t")),
         "p1_languages": lambda s, d: language.conversation_languages(table(s, d, "sft_i2t")),
         "p2_found": lambda s, d: pairs.defects(table(s, d, "preference_pairs"), table(s, d, "sft_i2t")),
+        "p3_found": lambda s, d: near.similar_conversations(table(s, d, "sft_i2t")),
+        "p3_groups": lambda s, d: near.conversation_groups(table(s, d, "sft_i2t")),
+        "p4_found": lambda s, d: splits.cross_split_pairs(table(s, d, "vqa_questions")),
+        "p4_counts": lambda s, d: splits.cross_split_counts(table(s, d, "vqa_questions")),
+        "p5_found": lambda s, d: canonical.duplicate_rows(table(s, d, "sft_i2t")),
+        "p5_records": lambda s, d: canonical.dedup_records(table(s, d, "sft_i2t")),
+        "p6_found": lambda s, d: consensus.consensus(table(s, d, "vqa_annotations")).select("question_id", "answer"),
+        "p6_agreement": lambda s, d: consensus.consensus(table(s, d, "vqa_annotations")),
+        "p6_reliability": lambda s, d: consensus.annotator_reliability(table(s, d, "vqa_annotations")),
         "p7_assignment": lambda s, d: packing.pack(table(s, d, "documents"), table(s, d, "pack_specs")),
         "p7_unused": lambda s, d: packing.unused(packing.pack(table(s, d, "documents"), table(s, d, "pack_specs"))),
         "p8_draw": lambda s, d: mixing.draw(table(s, d, "documents"), table(s, d, "mix_targets")),
