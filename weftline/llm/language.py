@@ -34,8 +34,6 @@ LANGS = ("de", "en", "es", "fr", "zh")
 SAMPLE_ROWS, CLUSTERS, DIMS, GRAMS = 6000, 32, 1 << 15, 3
 #: Times that a whole word counts beside its n-grams.
 WORD_WEIGHT = 2
-#: Confidence from which the mean centroids decide.
-CLEAR = 0.95
 #: Words (Chinese: characters) from which a stretch counts as a sentence, and from which a quotation is one, and confidence from which a sentence counts.
 SENTENCE_WORDS, QUOTED_WORDS, SURE = 4, 6, 0.65
 
@@ -47,6 +45,7 @@ _WORD = re.compile(f"[{CJK}]|[^\\W\\d_{CJK}]+(?:['’][^\\W\\d_{CJK}]+)*")
 _RUN = re.compile(f"[{CJK}][^A-Za-zÀ-ÿ]*|[A-Za-zÀ-ÿ][^{CJK}]*")
 _CHINESE, _LATIN = re.compile(f"[{CJK}]"), re.compile(r"[A-Za-zÀ-ÿ]+")
 _SPACE = re.compile(r"[\W\d_]+")
+_QUOTE = re.compile("['‘’‚\"“”„«」』]")
 
 
 def n_words(text: str) -> int:
@@ -55,7 +54,7 @@ def n_words(text: str) -> int:
 
 def by_script(text: str) -> list[str]:
     """The text, cut where it changes between Chinese and Latin script for at least a sentence's length."""
-    if not _CHINESE.search(text) or len(_LATIN.findall(text)) < SENTENCE_WORDS:
+    if text.isascii() or not _CHINESE.search(text) or len(_LATIN.findall(text)) < SENTENCE_WORDS:
         return [text]
     parts: list[list[str]] = []
     for run in _RUN.findall(text):
@@ -84,7 +83,7 @@ def stretches(text: str) -> list[str]:
             quoted.append(inner)
         return " "
 
-    rest = _QUOTES.sub(take, text)
+    rest = _QUOTES.sub(take, text) if _QUOTE.search(text) else text
     if not _WORD.search(rest) and not quoted:  # the turn is nothing but a quotation
         rest = text
     return [p for s in [*_END.split(rest), *quoted] if s and _WORD.search(s) for p in by_script(s)]
@@ -114,11 +113,16 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keys.append((owner[: len(h)] * DIMS + d)[same])
     words = [t.split() for t in texts]
     known: dict[str, int] = {}
-    for w in {w for t in words for w in t if len(w) > 1 and not re.match(f"[{CJK}]", w)}:
-        known[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=4).digest(), "little") % DIMS
-    at = np.fromiter((i * DIMS + known[w] for i, t in enumerate(words) for w in t if w in known), np.int64)
-    keys += [at] * WORD_WEIGHT
-    key, count = np.unique(np.concatenate(keys), return_counts=True)
+    flat = [w for t in words for w in t]
+    for w in set(flat):
+        known[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=4).digest(), "little") % DIMS if len(w) > 1 and not "㐀" <= w[0] <= "鿿" else -1
+    at = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+    keys += [(np.repeat(np.arange(len(words)) * DIMS, [len(t) for t in words]) + at)[at >= 0]] * WORD_WEIGHT
+    key = np.concatenate(keys)
+    key.sort()
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    count = np.diff(np.r_[first, len(key)])
+    key = key[first]
     return key // DIMS, key % DIMS, count.astype(np.float32)
 
 
@@ -132,29 +136,15 @@ class Model:
     idf: np.ndarray
     floor: np.ndarray  # least accepted cosine by length class
 
-    def __post_init__(self) -> None:
-        c = np.stack([self.centroids[:, self.of == k].mean(axis=1) for k in range(len(self.langs))], axis=1)
-        self.coarse = (c / np.maximum(1e-9, np.sqrt((c * c).sum(axis=0)))).astype(np.float32)
-
     def cosines(self, texts: list[str]) -> np.ndarray:
-        """Cosine of each text with each language: with the mean of its centroids where that already tells the language
-        clearly, else with the nearest of them."""
+        """Cosine of each text with the nearest centroid of each language; every text is compared with every centroid."""
         out = np.zeros((len(texts), len(self.langs)), np.float32)
-        for at in range(0, len(texts), 2048):
-            part = [clean(t) for t in texts[at : at + 2048]]
+        starts = np.flatnonzero(np.r_[True, self.of[1:] != self.of[:-1]])
+        for at in range(0, len(texts), 1024):
+            part = [clean(t) for t in texts[at : at + 1024]]
             row, dim, w = weights(part, self.idf)
-            if not len(row):
-                continue
-            cos = _dots(row, dim, w, self.coarse, len(part))
-            _, top, conf = confidence(cos)
-            floor = self.floor[[length_class(t) for t in part]]
-            ask = ~((conf >= CLEAR) & (top >= floor) & np.array([t.count(" ") > SENTENCE_WORDS or n_words(t) >= SENTENCE_WORDS for t in part]))
-            if ask.any():
-                keep = ask[row]
-                number = np.cumsum(ask) - 1
-                fine = _dots(number[row[keep]], dim[keep], w[keep], self.centroids, int(ask.sum()))
-                cos[ask] = np.stack([fine[:, self.of == k].max(axis=1) for k in range(len(self.langs))], axis=1)
-            out[at : at + len(part)] = cos
+            if len(row):
+                out[at : at + len(part)] = np.maximum.reduceat(_dots(row, dim, w, self.centroids, len(part)), starts, axis=1)
         return out
 
 
@@ -178,7 +168,7 @@ def weights(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def length_class(text: str) -> int:
-    return min(5, int(np.log2(max(1, len(text)))))
+    return min(5, max(1, len(text)).bit_length() - 1)
 
 
 def _means(row: np.ndarray, dim: np.ndarray, w: np.ndarray, part: np.ndarray, k: int) -> np.ndarray:
@@ -188,15 +178,23 @@ def _means(row: np.ndarray, dim: np.ndarray, w: np.ndarray, part: np.ndarray, k:
     return (v / np.maximum(1e-9, np.sqrt((v * v).sum(axis=1, keepdims=True)))).T.astype(np.float32)
 
 
-def _dots(row: np.ndarray, dim: np.ndarray, w: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
-    """Products of n texts with the columns of c; `row` is sorted."""
+def _dots(row: np.ndarray, dim: np.ndarray, w: np.ndarray, c: np.ndarray, n: int, step: int = 64) -> np.ndarray:
+    """Products of n texts with the columns of c; `row` is sorted. A few texts at a time are dense in the dimensions they use."""
+    if c.shape[1] == 1:
+        return np.bincount(row, w * c[dim, 0], minlength=n)[:, None].astype(np.float32)
     out = np.zeros((n, c.shape[1]), np.float32)
-    step = max(16, 4096 // c.shape[1])  # slices that stay in the cache
-    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
-    ends = np.r_[starts[1:], len(row)]
-    for at in range(0, len(starts), step):
-        s, e = starts[at], ends[min(at + step, len(starts)) - 1]
-        out[row[starts[at : at + step]]] = np.add.reduceat(c[dim[s:e]] * w[s:e, None], starts[at : at + step] - s, axis=0)
+    bounds = np.searchsorted(row, np.arange(0, n + step, step))
+    used, place = np.zeros(len(c), bool), np.zeros(len(c), np.int64)
+    for k, (s, e) in enumerate(zip(bounds, bounds[1:])):
+        if s < e:
+            d = dim[s:e]
+            used[d] = True
+            u = np.flatnonzero(used)
+            used[u] = False
+            place[u] = np.arange(len(u))
+            x = np.zeros((min(step, n - k * step), len(u)), np.float32)
+            x[row[s:e] - k * step, place[d]] = w[s:e]
+            out[k * step : k * step + len(x)] = x @ c[u]
     return out
 
 
@@ -299,18 +297,25 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     return fit_texts(sample(rows, sample_rows))
 
 
-def languages_of(turns: list[tuple[int, str, str]], found: dict[str, tuple[str | None, float]]) -> tuple[str | None, float, list[tuple[int, str, float]]]:
+Parts = dict[str, list[tuple[str, int]]]
+
+
+def parts_of(turns: list[list[tuple[int, str, str]]]) -> Parts:
+    """content -> its stretches with their numbers of words."""
+    return {c: [(s, n_words(s)) for s in stretches(c)] for c in {c for t in turns for _, _, c in t}}
+
+
+def languages_of(turns: list[tuple[int, str, str]], cut_up: Parts, found: dict[str, tuple[str | None, float]]) -> tuple[str | None, float, list[tuple[int, str, float]]]:
     """Main language and confidence of a conversation, and the (turn, language, confidence) used if there are several."""
     size: dict[str, float] = {}
     sure: dict[str, float] = {}
     per: dict[tuple[int, str], tuple[float, float]] = {}
     loose: list[tuple[int, str]] = []
     for no, _, content in turns:
-        parts = stretches(content)
+        parts = cut_up[content]
         hit = False
-        for s in parts:
+        for s, n in parts:
             lang, conf = found[s]
-            n = n_words(s)
             if lang is None:
                 continue
             weight = n * conf
@@ -325,10 +330,10 @@ def languages_of(turns: list[tuple[int, str, str]], found: dict[str, tuple[str |
     if not size:  # nothing of sentence length: all stretches together decide
         votes: dict[str, float] = {}
         for no, content in loose:
-            for s in stretches(content):
+            for s, n in cut_up[content]:
                 lang, conf = found[s]
                 if lang:
-                    votes[lang] = votes.get(lang, 0) + n_words(s) * max(conf - 0.2, 0.01)
+                    votes[lang] = votes.get(lang, 0) + n * max(conf - 0.2, 0.01)
         if not votes:
             return None, 0.0, []
         best = max(votes, key=lambda k: (votes[k], k))
@@ -349,10 +354,10 @@ def languages_of(turns: list[tuple[int, str, str]], found: dict[str, tuple[str |
         if not options:
             continue
         votes = {}
-        for s in stretches(content):
+        for s, n in cut_up[content]:
             lang, conf = found[s]
             if lang in options:
-                votes[lang] = votes.get(lang, 0) + n_words(s) * conf
+                votes[lang] = votes.get(lang, 0) + n * conf
         before = known.get(no - 1) if known.get(no - 1) in options else known.get(no + 1)
         best = max(votes, key=lambda k: (votes[k], k)) if votes else before if before in options else max(options, key=lambda k: size[k])
         used.append((no, best, 0.5))
@@ -371,48 +376,54 @@ def classify(texts: list[str], model: Model) -> dict[str, tuple[str | None, floa
     return out
 
 
-SCHEMA = "row_id long, turn_no int, lang string, confidence double, label string"
+def judged(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[int, str | None, str, float, list[tuple[int, str, float]]]]:
+    """(id, given label, main language, its confidence, (turn, language, confidence) if there are several) of the conversations
+    that state a language, from batches of (row_id, conversations, lang)."""
+    for b in batches:
+        for at in range(0, b.num_rows, 2000):
+            part = b.slice(at, 2000)
+            turns = [turns_of(c) for c in part.column(1).to_pylist()]
+            cut_up = parts_of(turns)
+            found = classify([s for x in cut_up.values() for s, _ in x], model)
+            for i, t, given in zip(part.column(0).to_pylist(), turns, part.column(2).to_pylist()):
+                main, conf, used = languages_of(t, cut_up, found)
+                if main is not None:
+                    yield i, label_of(given), main, conf, used
 
 
-def detect(rows: DataFrame, model: Model | None) -> DataFrame:
-    """(row_id, turn_no, lang, confidence, label): a row of turn -1 per conversation, and for conversations of several
-    languages a row per turn and language used in it. `label` is the given label, reduced to a language code."""
-    spark = rows.sparkSession
+def _emit(sft: DataFrame, rows_of, schema: pa.Schema) -> DataFrame:
+    """What `rows_of` makes of each judged conversation, in one pass over the table."""
+    rows = sft.select("row_id", "conversations", "lang")
+    model = fit(rows)
+    text = ", ".join(f"{f.name} {t}" for f, t in zip(schema, ("long", "long", "string", "double")))
     if model is None:
-        return spark.createDataFrame([], SCHEMA)
+        return sft.sparkSession.createDataFrame([], text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                ids, langs = part.column(0).to_pylist(), part.column(2).to_pylist()
-                turns = [turns_of(c) for c in part.column(1).to_pylist()]
-                found = classify([s for t in turns for _, _, content in t for s in stretches(content)], model)
-                out: list[list] = [[], [], [], [], []]
-                for i, t, given in zip(ids, turns, langs):
-                    main, conf, used = languages_of(t, found)
-                    if main is None:
-                        continue
-                    for no, lang, c in [(-1, main, conf), *used]:
-                        for col, x in zip(out, (i, no, lang, c, label_of(given))):
-                            col.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string()), pa.array(out[3], pa.float64()), pa.array(out[4], pa.string())], ["row_id", "turn_no", "lang", "confidence", "label"])
-
-    return spread(rows.select("row_id", "conversations", "lang").where("conversations IS NOT NULL AND row_id IS NOT NULL")).mapInArrow(run, SCHEMA)
+            out = [r for x in judged(iter([b]), model) for r in rows_of(*x)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    return spread(rows.where("conversations IS NOT NULL AND row_id IS NOT NULL")).mapInArrow(run, text)
+
+
+FIELDS = [("row_id", pa.int64()), ("turn_no", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64())]
 
 
 def conversation_languages(sft: DataFrame) -> DataFrame:
-    """(row_id, turn_no, lang, confidence) for every conversation and every stretch of a mixed one."""
-    rows = sft.select("row_id", "conversations", "lang")
-    return detect(rows, fit(rows)).drop("label")
+    """(row_id, turn_no, lang, confidence): a row of turn -1 per conversation, and for conversations of several languages a row
+    per turn and language used in it."""
+
+    def rows_of(i, given, main, conf, used):
+        return [(i, -1, main, conf), *((i, *u) for u in used)]
+
+    return _emit(sft, rows_of, pa.schema(FIELDS))
 
 
 def mislabelled_or_mixed(sft: DataFrame) -> DataFrame:
     """(row_id, turn_no, lang): conversations whose label is missing or wrong, and the turns and languages of mixed ones."""
-    rows = sft.select("row_id", "conversations", "lang")
-    d = detect(rows, fit(rows))
-    # A conversation of several languages is told by its turns; whether it has any is known row by row.
-    whole = d.where("turn_no = -1")
-    mixed = d.where("turn_no >= 0")
-    single = whole.where("NOT (label <=> lang) AND confidence < 2").join(mixed.select("row_id").distinct(), "row_id", "left_anti")
-    return single.select("row_id", F.col("turn_no").cast("long").alias("turn_no"), "lang").unionByName(mixed.select("row_id", F.col("turn_no").cast("long").alias("turn_no"), "lang"))
+
+    def rows_of(i, given, main, conf, used):
+        return [(i, no, lang) for no, lang, _ in used] or [(i, -1, main)] * (given != main)
+
+    return _emit(sft, rows_of, pa.schema(FIELDS[:3]))
