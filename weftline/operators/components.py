@@ -12,7 +12,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One half round. Neighbourhoods are never gathered: only their minimum is, by partial aggregation."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    hung = both.join(low, "u")
+    hung = both.hint("merge").join(low, "u")
     if large:
         return hung.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
     out = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))

@@ -1,46 +1,27 @@
-"""Near-duplicate texts with small edits (problem 3): a count-vector R-tree join.
+"""Verified links between near-duplicate sets of runs, proposed by min-hash bands.
 
-Each text is the set of its distinct three-word runs. The runs are hashed into GROUPS groups and their counts are a point;
-for two texts the sum of the coordinate minima bounds the number of runs they share, and so does, for a text and a node of
-an R-tree, the sum of the minima with the node's upper corner. A subtree whose bound is below what the threshold demands is
-skipped; what survives is verified on the runs themselves.
-
-One tree over all points cannot be searched at scale (in this many dimensions its upper nodes reject nothing), so the points
-are first placed in cells, by BANDS min-hash bands of ROWS rows each, and a tree is built per cell. Two texts of similarity
-J meet in a cell with probability 1 - (1 - J^ROWS)^BANDS: 0.983 at the threshold of 0.5, 0.999 at 0.55, 1 - 2e-9 at 0.67.
-Large cells are cut into blocks that meet pairwise, so no task holds an unbounded cell.
+Two sets of similarity J meet in a cell with probability 1 - (1 - J^ROWS)^bands. Inside a cell the counts of the runs by group
+are points of an R-tree; the sum of the coordinate minima bounds the number of shared runs, for two sets and for a set and a
+node. What survives is verified on the runs. Large cells are cut into blocks that meet pairwise.
 
 Two passes keep huge families of near-copies linear: the first links neighbours inside each cell only; the second considers
-only points of different components. Components, and so the groups, are the same as if all pairs had been verified.
-
-Cases: texts of fewer than `min_words` words, NULL and unparsable conversations belong to no group; identical texts collapse
-first and count as one point; ids must be unique (of repeated ids the smallest content counts); empty input gives empty
-output.
+only points of different components. The runs are never broadcast.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.components import connected_components
-from weftline.schemas import TURNS
 from weftline.session import cut, spread
 
-GROUPS, BANDS, ROWS, RUN, LEAF, BLOCK = 128, 128, 5, 3, 32, 2048
-WORD = re.compile("[㐀-䶿一-鿿]|[^\\W_㐀-䶿一-鿿]+")
-
-
-def conversation_text(conversations: Column) -> Column:
-    """`content` of the user and assistant turns in order, without `<image>`, lower case."""
-    turns = F.filter(F.from_json(conversations, TURNS), lambda t: t["role"].isin("user", "assistant"))
-    return F.lower(F.replace(F.array_join(F.transform(turns, lambda t: F.coalesce(t["content"], F.lit(""))), "\n"), F.lit("<image>"), F.lit(" ")))
+GROUPS, BANDS, ROWS, LEAF, BLOCK = 128, 128, 5, 32, 2048
 
 
 class _Words:
@@ -58,7 +39,7 @@ class _Words:
         return np.fromiter((memo[w] for w in words), np.uint64, len(words))
 
 
-def runs_of(hashes: np.ndarray, k: int = RUN) -> np.ndarray:
+def runs_of(hashes: np.ndarray, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word runs."""
     z = np.zeros(max(0, len(hashes) - k + 1), np.uint64)
     for i in range(k):
@@ -67,22 +48,6 @@ def runs_of(hashes: np.ndarray, k: int = RUN) -> np.ndarray:
     return np.unique(z)
 
 
-def _texts(min_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = _Words()
-        for b in batches:
-            ids, digests, runs = [], [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = WORD.findall(text) if text else []
-                if len(words) >= min_words:
-                    ids.append(i)
-                    digests.append(hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest())
-                    runs.append(runs_of(of(words)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(runs, pa.binary())], ["id", "digest", "runs"])
-
-    return run
-
-
 def _coefficients(bands: int = BANDS) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(20240601)
     n = bands * ROWS
@@ -257,7 +222,8 @@ def _verify(threshold: float):
 
 def _links(candidates: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     runs = texts.select("id", "runs")
-    both = candidates.join(runs.select(F.col("id").alias("a"), F.col("runs").alias("ra")), "a").join(runs.select(F.col("id").alias("b"), F.col("runs").alias("rb")), "b")
+    both = candidates.hint("merge").join(runs.select(F.col("id").alias("a"), F.col("runs").alias("ra")), "a")
+    both = both.hint("merge").join(runs.select(F.col("id").alias("b"), F.col("runs").alias("rb")), "b")
     return both.select("a", "b", "ra", "rb").mapInArrow(_verify(threshold), "a long, b long")
 
 
@@ -265,60 +231,24 @@ def _tasks(points: DataFrame) -> DataFrame:
     """Points by cell, cells of more than BLOCK points as pairs of blocks; `task` numbers the work, sorted inside partitions."""
     n = points.groupBy("cell").agg(F.count("*").alias("n")).where(f"n > {BLOCK}").select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     # Cells of more than BLOCK points number at most BANDS / BLOCK of the points.
-    p = points.join(n, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    p = points.hint("merge").join(n, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     p = p.withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     p = p.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     p = p.withColumn("task", F.xxhash64("cell", F.least("side", "other"), F.greatest("side", "other")))
     return p.select("task", "side", "id", "comp", "size", "point", "over").repartition("task").sortWithinPartitions("task", "id")
 
 
-def distinct_texts(rows: DataFrame, id_col: str, text: Column, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """(members, texts): members (id, digest) of every row that counts; texts (id, runs), one per distinct text."""
-    t = spread(rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text.alias("t")))
-    t = cut(t.mapInArrow(_texts(min_words), "id long, digest binary, runs binary"))
-    texts = cut(t.groupBy("digest").agg(F.min("id").alias("id"), F.first("runs").alias("runs")).select("id", "runs"))
-    return t.select("id", "digest").distinct(), texts
-
-
 def near_links(texts: DataFrame, threshold: float = 0.5, bands: int = BANDS) -> DataFrame:
     """Links (a, b) between distinct texts that make the same components as all pairs of at least `threshold` similarity."""
     share = threshold / (1 + threshold)
     cells = cut(spread(texts).mapInArrow(_cells(bands), "id long, cell long"))
     shared = cells.groupBy("cell").agg(F.count("*").alias("k")).where("k > 1").select("cell")
-    cells = cells.join(shared, "cell").distinct()
+    cells = cells.hint("merge").join(shared, "cell").distinct()
     vectors = texts.mapInArrow(_vectors, "id long, size long, point binary, over long")
-    points = cut(cells.join(vectors, "id"))
+    points = cut(cells.hint("merge").join(vectors, "id"))
     first = _tasks(points.withColumn("comp", F.col("id"))).mapInArrow(_search(share, True), "a long, b long").distinct()
     links = cut(_links(first, texts, threshold))
     comps = connected_components(links)
-    known = points.join(comps.select("id", F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    known = points.hint("merge").join(comps.select("id", F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     second = _tasks(known).mapInArrow(_search(share, False), "a long, b long").distinct()
     return links.unionByName(cut(_links(second, texts, threshold)))
-
-
-def near_duplicate_groups(rows: DataFrame, id_col: str, text: Column, min_words: int = 60, threshold: float = 0.5) -> DataFrame:
-    """(id, group_id, links): one row per row that counts; `links` is the number of verified links of its text."""
-    members, texts = distinct_texts(rows, id_col, text, min_words)
-    links = near_links(texts, threshold)
-    comps = connected_components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    reps = members.groupBy("digest").agg(F.min("id").alias("rep"))
-    m = members.join(reps, "digest").join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
-    return m.select("id", F.coalesce("component", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
-
-
-def near_duplicate_pairs(groups: DataFrame) -> DataFrame:
-    """(row_id_a, row_id_b): every pair inside one group."""
-    g = cut(groups.select("id", "group_id"))
-    many = g.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id")
-    g = g.join(many, "group_id")
-    return g.alias("x").join(g.alias("y"), "group_id").where("x.id < y.id").select(F.col("x.id").alias("row_id_a"), F.col("y.id").alias("row_id_b"))
-
-
-def conversation_groups(sft: DataFrame, threshold: float = 0.5, min_words: int = 60) -> DataFrame:
-    """Groups of nearly equal conversations of `sft_i2t`."""
-    return near_duplicate_groups(sft, "row_id", conversation_text(F.col("conversations")), min_words, threshold)
-
-
-def similar_conversations(sft: DataFrame) -> DataFrame:
-    return near_duplicate_pairs(conversation_groups(sft))

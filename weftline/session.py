@@ -32,12 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the session's own, else `spark.checkpoint.dir`, else (tests only) a local one."""
+    """The shared checkpoint folder: the session's own, else `spark.checkpoint.dir`, else, for a local master only, a local one."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     conf = sc.getConf().get("spark.checkpoint.dir")
+    if not conf and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="weftline-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -51,9 +53,13 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin a scan that has fewer partitions than the cluster has cores, ahead of CPU-heavy Arrow work.
 
-    Inputs of many splits, the case at scale, pass through without a shuffle.
+    Inputs of many splits, the case at scale, pass through without a shuffle. Only a scan is asked for its partitions, as a plan
+    with a shuffle would run to tell; such a plan passes through too.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if any(x in plan for x in ("Exchange", "Aggregate", "Join", "Sort", "Window")):
+        return df
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
