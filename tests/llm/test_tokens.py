@@ -70,4 +70,20 @@ def test_mix(spark):
     for s, want in (("big_one", 0.5), ("small", 0.2), ("mid", 0.25)):
         assert share[s] == pytest.approx(want / 0.95, abs=0.01)
     assert share["missing"] == 0
+    # Every source within one of its texts of its target.
+    size = {s: max(x["tokens"] for x in drawn.to_dict("records") if x["source"] == s) for s in cap}
+    total = (drawn.tokens * drawn.copies).sum()
+    assert all(abs(share[s] - want / 0.95) * total <= size[s] for s, want in (("big_one", 0.5), ("small", 0.2), ("mid", 0.25)))
+    plan = mixing.draw(d, t)._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan  # counted once, before
     assert mixing.draw(d.where("false"), t).count() == 0 and mixing.draw(d, t.where("false")).count() == 0
+
+
+def test_too_many_targets_raise(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 1)
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    with pytest.raises(ValueError):
+        mixing.draw(docs(spark, [(1, "x", "a")]), t)
+    monkeypatch.setattr(packing, "MOST_CAPACITY", 8)
+    with pytest.raises(ValueError):
+        packing.packings(spark.createDataFrame([(1, 9)], "spec_id int, capacity_tokens int"))

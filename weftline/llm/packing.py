@@ -9,7 +9,7 @@ that a third of all texts share is ranked by many tasks.
 
 A text longer than the capacity is split into pieces of the capacity and a rest; no other text is split.
 Cases: NULL and blank texts have no tokens and are not packed; a repeated doc_id is packed as often as it occurs; capacities that are NULL or
-below 1 are ignored; without a capacity or a text the result is empty.
+below 1 are ignored; more than MOST_SPECS specs or a capacity above MOST_CAPACITY raise an error; without a capacity or a text the result is empty.
 """
 
 from __future__ import annotations
@@ -27,6 +27,10 @@ from weftline.llm.tokens import TOKENIZER, measured
 from weftline.session import cut
 
 
+#: Specs and tokens of capacity at most: a packing is planned on as many sizes. More of either raises an error.
+MOST_SPECS, MOST_CAPACITY = 1000, 1 << 22
+
+
 @dataclass
 class Pattern:
     """`bins` bins of `capacity`, each holding `k` items of size `s` for every (s, k) of `items`."""
@@ -109,7 +113,9 @@ def _pieces(sizes: DataFrame, name: str, capacity: int) -> DataFrame:
 
 def packings(specs: DataFrame) -> dict[str, list[int]]:
     """The packings asked for: one of each capacity by itself, and `joint`, of all capacities together."""
-    rows = specs.where("capacity_tokens >= 1").select("spec_id", "capacity_tokens").distinct().orderBy("spec_id", "capacity_tokens").limit(1000).collect()
+    rows = specs.where("capacity_tokens >= 1").select("spec_id", "capacity_tokens").distinct().orderBy("spec_id", "capacity_tokens").limit(MOST_SPECS + 1).collect()
+    if len(rows) > MOST_SPECS or any(r["capacity_tokens"] > MOST_CAPACITY for r in rows):
+        raise ValueError(f"more than {MOST_SPECS} specs, or a capacity above {MOST_CAPACITY}, which bounds the histogram of sizes")
     out = {f"spec {r['spec_id']}": [r["capacity_tokens"]] for r in rows}
     if rows:
         out["joint"] = sorted({r["capacity_tokens"] for r in rows})
@@ -122,7 +128,7 @@ def pack(documents: DataFrame, specs: DataFrame, tokenizer: str = TOKENIZER) ->
     asked = packings(specs)
     if not asked:
         return documents.sparkSession.createDataFrame([], schema)
-    sizes = cut(measured(documents, tokenizer).where("tokens > 0"))
+    sizes = measured(documents, tokenizer).where("tokens > 0")
     pieces = None
     for name, capacities in asked.items():
         p = _pieces(sizes, name, max(capacities))

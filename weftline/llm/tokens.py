@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import spread
+from weftline.session import cut, spread
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
@@ -40,7 +40,12 @@ def n_tokens(text: Column, tokenizer: str = TOKENIZER) -> Column:
     return count(text)
 
 
-def measured(documents: DataFrame, tokenizer: str = TOKENIZER, *keep: str) -> DataFrame:
-    """(doc_id, tokens, *keep) of the documents that have any text; NULL and blank texts have none."""
+def measured(documents: DataFrame, tokenizer: str = TOKENIZER, *keep: str | Column) -> DataFrame:
+    """(doc_id, tokens, *keep) of the documents that have any text; NULL and blank texts have none.
+
+    The result is cut, so that each text is tokenised once, behind the exchange that spreads a small scan, whatever is filtered
+    or counted afterwards.
+    """
     d = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").where(~F.col("text").rlike(r"^[\s\p{Z}]*$"))
-    return spread(d.select("doc_id", "text", *keep)).select("doc_id", n_tokens(F.col("text"), tokenizer).alias("tokens"), *keep)
+    d = spread(d.select("doc_id", "text", *keep))
+    return cut(d.select("doc_id", n_tokens(F.col("text"), tokenizer).alias("tokens"), *[c for c in d.columns if c not in ("doc_id", "text")]))
