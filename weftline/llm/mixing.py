@@ -148,10 +148,11 @@ def _moves(drawn: DataFrame, goal: dict[str, float], cap: dict[str, int]) -> lis
                 out.append((doc, sign))
                 left -= tokens
             else:
-                unused.append((abs(left - tokens), doc))
+                unused.append((tokens, doc))
         # One text more may pass the goal and still end nearer to it.
-        if unused and min(unused)[0] < left:
-            out.append((min(unused)[1], sign))
+        best = min(((abs(left - tokens), doc) for tokens, doc in unused), default=(left, 0))
+        if best[0] < left:
+            out.append((best[1], sign))
     return out
 
 
