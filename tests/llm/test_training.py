@@ -261,11 +261,16 @@ def test_consensus_edges(spark):
     assert consensus.consensus(annotations(spark, [])).count() == 0
 
 
-def test_large_questions_give_the_same(spark, monkeypatch):
+def test_many_annotators_and_large_questions_give_the_same(spark, monkeypatch):
     r = random.Random(6)
     rows = [(q, [(a, r.choice(["x", "y"]) if a % 3 else "x") for a in r.sample(range(30), 12)], T0) for q in range(40)]
     d = annotations(spark, rows)
+    monkeypatch.setattr(consensus, "TOLERANCE", 1e-2)
     one = {x["annotator_id"]: x["competence"] for x in consensus.annotator_reliability(d).collect()}
-    monkeypatch.setattr(consensus, "LARGE", 5)
-    two = {x["annotator_id"]: x["competence"] for x in consensus.annotator_reliability(d).collect()}
-    assert one == pytest.approx(two, abs=1e-9)
+    chosen = sorted(map(tuple, consensus.consensus(d).collect()))
+    monkeypatch.setattr(consensus, "SMALL", 5)
+    for large in (4096, 5):
+        monkeypatch.setattr(consensus, "LARGE", large)
+        rel = consensus.annotator_reliability(d).collect()
+        assert one == pytest.approx({x["annotator_id"]: x["competence"] for x in rel}, abs=1e-9) and 1 < rel[0]["rounds"] < consensus.ROUNDS
+    assert sorted(map(tuple, consensus.consensus(d).collect())) == chosen
