@@ -188,6 +188,28 @@ def test_cross_split_pairs(spark):
     assert splits.cross_split_pairs(questions(spark, rows).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("times", [1, 50])
+def test_pairs_do_not_depend_on_the_size_of_the_table(spark, times):
+    q = [("what color is the backpack", "train"), ("what color is the backpak", "val"), ("what color is the cart", "train"), ("what color is the cat", "test"), ("what coolr is the cat", "val")]
+    rows = [(k * 100 + i, k, t, s) for k in range(times) for i, (t, s) in enumerate(q)] + [(10**6 + i, 10**6 + i, "what is the color of the cat near the backpack", "train") for i in range(200 * times)] + [(2 * 10**6 + i, 2 * 10**6 + i, "a cart", "train") for i in range(10 * times)]
+    got = {tuple(r) for r in splits.cross_split_pairs(questions(spark, rows)).collect()}
+    assert got == {(100 * k, 100 * k + 1) for k in range(times)}
+
+
+def test_slips():
+    assert splits.is_slip("coolr", 25, "color", 7637) and splits.is_slip("tracotr", 1, "tractor", 26)
+    assert not splits.is_slip("cart", 10_000, "cat", 1_000_000) and not splits.is_slip("3", 1, "4", 900) and not splits.is_slip("dog", 1, "cat", 9000)
+    assert {"color", "cooler"} <= splits.one_slip("coolr")
+
+
+def test_hot_segment_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(splits, "BLOCK", 5)
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "klmn"]
+    rows = [(2 * i + j, 5, f"what color is the {w}", ("train", "val")[j]) for i, w in enumerate(words) for j in (0, 1)]
+    got = {tuple(r) for r in splits.cross_split_pairs(questions(spark, rows)).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(len(words))}
+
+
 def test_segments_miss_no_pair_within_the_edits(spark):
     r = random.Random(8)
     word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n)).strip() or "a"

@@ -5,7 +5,11 @@ equal plain texts collapse to one representative with its members. Each evaluati
 segments, k being the edits allowed for its length; a training text within k edits must hold one of the segments unchanged
 at one of a few positions, so an equi-join on (image, l, segment number, segment) finds every pair within k edits. Pairs
 are verified by banded dynamic programming and then word by word: words may differ only by slips of spelling, never by
-another attested word or another number.
+another word or another number. A word is a slip of a nearby word if it is no more frequent, by the counts of all words, than
+slips of that word are (SLIPS of its uses, with an allowance for chance); so a word of its own is never taken for its
+neighbour unless it is that rare beside it. The counts are joined to the words that differ; no vocabulary is sent around.
+
+A segment that more than BLOCK evaluation texts share, such as a common beginning on a popular image, is cut into blocks.
 
 Cases: NULL images, NULL, blank and mark-only questions make no pair; a question id delivered again counts once (by the
 earliest delivery); a question id found in two splits is never paired with itself. Empty tables give empty results.
@@ -13,13 +17,19 @@ earliest delivery); a question id found in two splits is never paired with itsel
 
 from __future__ import annotations
 
+import math
+import string
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import cut
+from weftline.session import cut, skew_join
+
+#: Share of the uses of a word that are one and the same slip at most; evaluation texts of a segment that meet in a task at most;
+#: rows of a table that is broadcast at most.
+SLIPS, BLOCK, SMALL = 1 / 150, 4096, 200_000
 
 # Phrases that leave a question unchanged, and words spelled in two ways.
 FILLERS_EN = (
@@ -82,11 +92,26 @@ def _keys_train(reps: DataFrame, lengths: DataFrame) -> DataFrame:
     low = f"greatest(0, {start} - i, {start} + l - el - ({k} - i))"
     high = f"least(l - {size}, {start} + i, {start} + l - el + ({k} - i))"
     subs = f"flatten(transform(sequence(0, {k}), i -> CASE WHEN {low} <= {high} THEN transform(sequence({low}, {high}), p -> struct(i AS i, substring(s, p + 1, {size}) AS seg)) ELSE array() END))"
-    near = reps.join(lengths, "image_id").where(F.expr(f"abs(l - el) <= {k}"))
+    # The lengths of an image are one row, an array; an image with a third of all questions meets it without a shuffle.
+    per_image = lengths.groupBy("image_id").agg(F.collect_set("el").alias("els")).join(reps.groupBy("image_id").agg(F.count("*").alias("n")), "image_id")
+    near = skew_join(reps, per_image, "image_id", "n").withColumn("el", F.explode(F.filter("els", lambda e: F.abs(F.col("l") - e) <= F.expr(EDITS.format(l="l")) + 1))).where(F.expr(f"abs(l - el) <= {k}"))
     return near.select("image_id", "rep", "s", "el", F.explode(F.array_distinct(F.expr(subs))).alias("g")).select(
         "image_id", F.col("rep").alias("rep_t"), F.col("s").alias("s_t"), F.xxhash64("image_id", "el", "g.i", "g.seg").alias("key"))
 
 
+def _segment_join(ev: DataFrame, tr: DataFrame) -> DataFrame:
+    """Rows of both sides of equal key; keys of more than BLOCK evaluation texts block by block."""
+    hot = cut(ev.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    few = hot.count()
+    if not few:
+        return ev.hint("merge").join(tr, "key")
+    hot = F.broadcast(hot) if few <= SMALL else hot.hint("merge")
+    block = F.pmod(F.xxhash64("rep_e"), F.coalesce("blocks", F.lit(1))).cast("int")
+    ev = ev.join(hot, "key", "left").withColumn("block", block).drop("blocks")
+    tr = tr.join(hot, "key", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    return ev.hint("merge").join(tr, ["key", "block"])
+
+
 def osa(a: str, b: str, most: int) -> int:
     """Edit distance with swaps of neighbours, in a band of width `most`; most+1 when it is larger."""
     if abs(len(a) - len(b)) > most:
@@ -104,50 +129,50 @@ def osa(a: str, b: str, most: int) -> int:
     return last[-1]
 
 
-def slip_of(word: str, counts: dict[str, int], by_size: dict[int, list[str]], ratio: int = 20) -> str:
-    """The attested word that `word` misspells, or `word` itself."""
-    if word.isdigit() or not word.isascii() or len(word) < 3:
-        return word
-    own, best = counts.get(word, 0), None
+def is_slip(word: str, n: int, other: str, m: int) -> bool:
+    """Is `word`, used n times, a slip of `other`, used m times?"""
+    if min(len(word), len(other)) < 3 or not (word.isascii() and other.isascii()) or word.isdigit() or other.isdigit():
+        return False
+    often = SLIPS * m
     most = 2 if len(word) >= 8 else 1
-    for size in range(len(word) - most, len(word) + most + 1):
-        for other in by_size.get(size, ()):
-            if counts[other] >= ratio * max(own, 1) and other[0] in word[:2] + word[:1] or (counts[other] >= 10 * ratio * max(own, 1)):
-                d = osa(word, other, most)
-                if 0 < d <= most and (best is None or (d, -counts[other]) < best[:2]):
-                    best = (d, -counts[other], other)
-    return best[2] if best else word
+    return n <= often + 3 * math.sqrt(often) + 1 and n < m and osa(word, other, most) <= most
 
 
-def vocabulary(reps: DataFrame, share: float = 2e-5) -> dict[str, int]:
-    """Counts of the attested words: those that make up at least `share` of all words, hence at most 1/share of them."""
-    words = reps.select(F.explode(F.split("s", " ")).alias("w"))
-    counts = cut(words.groupBy("w").count())
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    return {r["w"]: r["count"] for r in counts.where(F.col("count") >= max(2.0, share * total)).toLocalIterator()}
+def one_slip(word: str) -> set[str]:
+    """Words that `word` may be a single slip of: a swap, a letter more, less or other."""
+    cuts = [(word[:i], word[i:]) for i in range(len(word) + 1)]
+    letters = string.ascii_lowercase
+    out = {a + b[1] + b[0] + b[2:] for a, b in cuts if len(b) > 1} | {a + b[1:] for a, b in cuts if b}
+    out |= {a + x + b for a, b in cuts for x in letters} | {a + x + b[1:] for a, b in cuts if b for x in letters}
+    return {x for x in out if len(x) > 2} - {word}
 
 
-def _verify(counts: dict[str, int]):
-    by_size: dict[int, list[str]] = {}
-    for w in counts:
-        if w.isascii() and w.isalpha():
-            by_size.setdefault(len(w), []).append(w)
+def _bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(w, x) for w in b.column(0).to_pylist() if w.isascii() and w.isalpha() and len(w) > 2 for x in one_slip(w)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["w", "base"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, str] = {}
 
-        def fix(w: str) -> str:
-            if w not in memo:
-                if len(memo) > 200_000:
-                    memo.clear()
-                memo[w] = slip_of(w, counts, by_size)
-            return memo[w]
+def _same_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of words of which one is a slip of the other, or both of a third."""
+    for b in batches:
+        ok = [is_slip(x, n, y, m) or is_slip(y, m, x, n) or (bx or x) == (by or y) for x, y, n, m, bx, by in zip(*(c.to_pylist() for c in b.columns))]
+        yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        for b in batches:
-            keep = [x == y or [fix(w) for w in x.split()] == [fix(w) for w in y.split()] or x.replace(" ", "") == y.replace(" ", "") for x, y in zip(b["s_e"], b["s_t"])]
-            yield b.loc[keep, ["rep_e", "rep_t"]]
 
-    return run
+def same_words(differ: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) of `differ` that are one word but for slips, by the counts of all words of `reps`."""
+    counts = cut(reps.select(F.explode(F.split("s", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n")))
+    pairs = cut(differ.select("a", "b").distinct())
+    words = cut(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct().join(counts, "w", "left").select("w", F.coalesce("n", F.lit(0)).alias("n")))
+    bases = words.select("w").mapInArrow(_bases, "w string, base string").join(counts.select(F.col("w").alias("base"), F.col("n").alias("m")), "base").join(words, "w")
+    often = SLIPS * F.col("m")
+    bases = bases.where((F.col("n") <= often + 3 * F.sqrt(often) + 1) & (F.col("n") < F.col("m")))
+    base = bases.groupBy("w").agg(F.max(F.struct("m", "base")).alias("t")).select("w", "t.base")
+    known = cut(words.join(base, "w", "left"))
+    for side in ("a", "b"):
+        pairs = pairs.join(known.select(F.col("w").alias(side), F.col("n").alias(f"n_{side}"), F.col("base").alias(f"base_{side}")), side)
+    return pairs.select("a", "b", "n_a", "n_b", "base_a", "base_b").mapInArrow(_same_words, "a string, b string")
 
 
 def _rep_pairs(q: DataFrame) -> DataFrame:
@@ -155,11 +180,18 @@ def _rep_pairs(q: DataFrame) -> DataFrame:
     reps = cut(q.groupBy("image_id", "is_eval", "s").agg(F.min("question_id").alias("rep")).withColumn("l", F.length("s")))
     ev, tr = reps.where("is_eval"), reps.where("NOT is_eval")
     lengths = ev.select("image_id", F.col("l").alias("el")).distinct()
-    pairs = _keys_eval(ev).join(_keys_train(tr, lengths).withColumnRenamed("image_id", "image_t"), "key").where("image_id = image_t")
+    pairs = _segment_join(_keys_eval(ev), _keys_train(tr, lengths).withColumnRenamed("image_id", "image_t")).where("image_id = image_t")
     pairs = pairs.select("rep_e", "rep_t", "s_e", "s_t").distinct()
     k = EDITS.format(l="length(s_e)")
     pairs = pairs.where(F.expr(f"CASE {' '.join(f'WHEN {k} = {n} THEN levenshtein(s_e, s_t, {n})' for n in range(5))} END >= 0"))
-    return pairs.mapInPandas(_verify(vocabulary(reps)), "rep_e long, rep_t long")
+    pairs = cut(pairs)
+    same = (F.col("s_e") == F.col("s_t")) | (F.replace("s_e", F.lit(" "), F.lit("")) == F.replace("s_t", F.lit(" "), F.lit("")))
+    sure = pairs.where(same).select("rep_e", "rep_t")
+    words = pairs.where(~same).select("rep_e", "rep_t", F.split("s_e", " ").alias("x"), F.split("s_t", " ").alias("y")).where("size(x) = size(y)")
+    differ = words.select("rep_e", "rep_t", F.explode(F.filter(F.zip_with("x", "y", lambda x, y: F.struct(x.alias("a"), y.alias("b"))), lambda z: z["a"] != z["b"])).alias("z")).select("rep_e", "rep_t", "z.a", "z.b")
+    good = cut(same_words(differ, reps)).withColumn("good", F.lit(1))
+    slips = differ.join(good, ["a", "b"], "left").groupBy("rep_e", "rep_t").agg(F.count("*").alias("n"), F.count("good").alias("k")).where("n = k").select("rep_e", "rep_t")
+    return sure.unionByName(slips)
 
 
 def _members(q: DataFrame, side: str) -> DataFrame:
