@@ -43,3 +43,34 @@ def test_tree_merges_what_differs_by_names():
 def test_long_text_and_repeats(spark):
     long = "A dog sleeps near the old wall. " * 3000
     assert R.residue_documents(rows(spark, [long, long + " {{slot}}", "x" * 100_000])).collect()[0]["doc_id"] == 1
+
+
+@pytest.mark.parametrize("text", ["HTTP 502: upstream prematurely closed connection", "Your browser must run client-side code to view this content", "Nous n'avons pas trouvé ce que vous cherchez"])
+def test_messages_of_servers_and_browsers(spark, text):
+    assert [r[0] for r in R.residue_documents(rows(spark, ["A dog sleeps near the old wall.", text])).collect()] == [1]
+
+
+def test_support_of_a_message_without_a_seed(spark):
+    odd = "Proxy server 17: response of client session 4 lost"
+    content = [f"A {a} sleeps near the old {b} by the server room." for a in ("dog", "cat", "goat") for b in ("wall", "gate")]
+    got = {r[0] for r in R.residue_documents(rows(spark, [odd, odd.replace("17", "3"), odd.replace("4", "9"), *content * 4])).collect()}
+    assert got == {0, 1, 2}
+    assert R.residue_documents(rows(spark, [odd, *content])).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 7, 64])
+def test_results_do_not_depend_on_partitions_copies_or_the_way_of_sending(spark, monkeypatch, parts):
+    once = rows(spark, CASES + [c for c in CONTENT if c])
+    many = once.crossJoin(spark.range(20).withColumnRenamed("id", "k")).selectExpr("doc_id + 1000 * k AS doc_id", "text", "template").repartition(parts)
+    want = {i + 1000 * k for i in range(len(CASES)) for k in range(20)}
+    assert {r[0] for r in R.residue_documents(many).collect()} == want
+    if parts == 7:
+        monkeypatch.setattr(R, "SHIPPED", 2)
+        monkeypatch.setattr(R, "CROWD", 1)
+        assert {r[0] for r in R.residue_documents(many).collect()} == want
+
+
+def test_crowded_leaf(spark, monkeypatch):
+    monkeypatch.setattr(R, "CROWD", 50)
+    d = spark.range(100_000).selectExpr("id AS doc_id", "concat('the old ', substring(md5(cast(id % 3000 AS string)), 1, 6), 'a sleeps near ', substring(md5(cast(id % 2999 + 7 AS string)), 1, 6), 'b') AS text").selectExpr("doc_id", "translate(text, '0123456789', 'ghijklmnop') AS text")
+    assert R.residue_documents(d.unionByName(spark.createDataFrame([(-1, "the old page was not found")], "doc_id long, text string"))).collect()[0][0] == -1
