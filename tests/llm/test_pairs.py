@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import pairs as P
 
@@ -63,3 +64,24 @@ def test_defects(spark):
         ("preference_pairs", 4, "rejected", "truncated"), ("preference_pairs", 5, "rejected", "empty"), ("sft_i2t", 500, "turn_1", "empty"),
     }
     assert P.defects(p.where("false"), s.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("text, want", [
+    ("Thank you for the picture. It is a nice one. I'm sorry, but I cannot help with that.", True), ("Gracias. Es una foto. No puedo ayudar con eso.", True),
+    ("A dog sleeps near the wall. A cat sits on it. A bus waits. The sky is grey. The lamp is lit. I cannot see the number.", False), ("A dog. " * 400 + "I cannot help.", False),
+])
+def test_refusals_anywhere(text, want):
+    assert P.is_refusal(text) is want
+
+
+@pytest.mark.parametrize("times, parts", [(1, 2), (1, 64), (50, 7)])
+def test_defects_do_not_depend_on_size_or_partitions(spark, times, parts):
+    base = [f"The {a} stands near the {b}. A {b} was placed on the {a} this morning." for a in ("dog", "cat", "bus", "sofa", "lamp") for b in ("wall", "tree", "pond", "door")]
+    talks = [(i, json.dumps([{"role": "user", "content": "Describe the picture please."}, {"role": "assistant", "content": t}]), "en") for i, t in enumerate(base)]
+    q = "Describe the picture please."
+    pairs = [(1, q, "The dog stands near the", "N/A"), (2, q, "A door was placed on the bus this morning", q), (3, q, "I'm sorry, but I cannot help with that.", "- - -"), (4, q, "The lamp stands near the wall.", "The cat stands near the tree. A tree wa")]
+    copy = F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("k")
+    p = spark.createDataFrame(pairs, "pair_id long, prompt string, chosen string, rejected string").select("*", copy).withColumn("pair_id", F.expr("pair_id + 1000 * k")).repartition(parts)
+    t = spark.createDataFrame(talks, "row_id long, conversations string, lang string").select("*", copy).withColumn("row_id", F.expr("row_id + 1000 * k")).repartition(parts)
+    got = {(r["rec_id"] % 1000, r["field"], r["defect"]) for r in P.defects(p, t).collect() if r["src"] == "preference_pairs"}
+    assert got == {(1, "chosen", "truncated"), (1, "rejected", "empty"), (2, "rejected", "copied"), (3, "chosen", "refusal"), (3, "rejected", "empty"), (4, "rejected", "truncated")}

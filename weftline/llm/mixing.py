@@ -164,3 +164,15 @@ def shares(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER)
     d = d.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("tokens_drawn", "texts", "most_copies")})
     total = F.sum("tokens_drawn").over(W.partitionBy())
     return d.withColumn("share_reached", F.col("tokens_drawn") / F.greatest(total, F.lit(1)))
+
+
+def invariants(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """Per target source with texts: texts at hand, and texts drawn more often than allowed, twice under two ids, or from nowhere."""
+    want = _targets(targets)
+    d = draw(documents, targets, tokenizer)
+    at_hand = texts_of(documents, tokenizer)
+    caps = documents.sparkSession.createDataFrame([(s, c) for s, (_, c) in want.items()], "source string, cap long")
+    n = at_hand.join(F.broadcast(caps), "source").groupBy("source").agg(F.count("*").alias("texts"))
+    bad = d.join(F.broadcast(caps), "source", "left").join(at_hand.select("doc_id", F.col("tokens").alias("size")), "doc_id", "left")
+    bad = bad.groupBy("source").agg(F.count_if(F.col("copies") > F.col("cap")).alias("too_often"), F.count_if(~F.col("tokens").eqNullSafe(F.col("size"))).alias("from_nowhere"), (F.count("*") - F.count_distinct("doc_id")).alias("twice"))
+    return n.join(bad, "source", "left").select("source", "texts", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("too_often", "from_nowhere", "twice")])

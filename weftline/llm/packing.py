@@ -164,3 +164,19 @@ def unused(assignment: DataFrame) -> DataFrame:
     bins = assignment.groupBy("packing", "bin_id", "capacity_tokens").agg(F.sum("tokens").alias("tokens"))
     out = bins.groupBy("packing", "capacity_tokens").agg(F.count("*").alias("bins"), F.sum("tokens").alias("tokens"), (F.sum("capacity_tokens") - F.sum("tokens")).alias("unused"))
     return out.withColumn("unused_share", F.col("unused") / (F.col("bins") * F.col("capacity_tokens")))
+
+
+def invariants(documents: DataFrame, specs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """Per packing: documents packed, bins fuller than their capacity, bins that a smaller capacity would hold, documents split
+    though they fit, and documents whose pieces do not add up to their tokens."""
+    a = pack(documents, specs, tokenizer)
+    spark, asked = documents.sparkSession, packings(specs)
+    caps = spark.createDataFrame([(name, sorted(c)) for name, c in asked.items()], "packing string, capacities array<long>")
+    sizes = measured(documents, tokenizer).where("tokens > 0").groupBy("doc_id").agg(F.sum("tokens").alias("size"))
+    bins = a.groupBy("packing", "bin_id", "capacity_tokens").agg(F.sum("tokens").alias("used")).join(F.broadcast(caps), "packing")
+    smaller = F.exists("capacities", lambda c: (c >= F.col("used")) & (c < F.col("capacity_tokens")))
+    b = bins.groupBy("packing").agg(F.count_if(F.col("used") > F.col("capacity_tokens")).alias("overfull"), F.count_if(smaller).alias("oversized"))
+    d = a.groupBy("packing", "doc_id").agg(F.sum("tokens").alias("packed"), F.count("*").alias("pieces")).join(sizes, "doc_id", "full").join(F.broadcast(caps), "packing", "left")
+    whole = (F.col("pieces") > 1) & (F.col("packed") <= F.array_max("capacities"))
+    d = d.groupBy("packing").agg(F.count("*").alias("documents"), F.count_if(whole).alias("split"), F.count_if(~F.col("packed").eqNullSafe(F.col("size"))).alias("changed"))
+    return d.join(b, "packing").select("packing", "documents", "overfull", "oversized", "split", "changed")

@@ -68,6 +68,8 @@ _TOKEN = re.compile(f"[{lid.CJK}]|[^\\W_{lid.CJK}]+")
 _STAND_IN_WORDS = max(len(_TOKEN.findall(x)) for x in STAND_INS)
 _STOPPED = re.compile(r"[.!?。！？][\"'”’»）)\]」』*_`\s]*$")
 _ASKED = re.compile(r"[?？]\W*$")
+#: Sentences that may stand beside a refusal.
+MOST_BESIDE = 3
 _FADED = re.compile(r"(?:\s*(?:\.{2,}|…+|[!?！？]{2,}|\s[.!?。]+))+\s*$")
 _SENTENCES = re.compile(r"(?<=[.!?])[\"'”’»)\]]*\s+|(?<=[。！？])[\"'”’»）\]]*|\n{2,}")
 _CAPS = re.compile(r"[A-ZÀ-ÞŒ]")
@@ -209,11 +211,11 @@ def is_refusal(answer: str) -> bool:
         return False
     low = lid._QUOTES.sub(" ", low)
     parts = [s for s in _SENTENCES.split(low) if s and words_of(s)]
-    for no, s in enumerate(parts[:2]):
-        if any(p.search(s) for p in _REFUSAL.values()):
-            rest = [x for x in parts[no + 1 :] if not x.rstrip().endswith(("?", "？"))]
-            return len(rest) <= 2
-    return False
+    refusing = [any(p.search(s) for p in _REFUSAL.values()) for s in parts]
+    if not any(refusing):
+        return False
+    # Wherever the refusal stands, little else is said; questions back to the asker are nothing else.
+    return sum(not r and not s.rstrip().endswith(("?", "？")) for r, s in zip(refusing, parts)) <= MOST_BESIDE
 
 
 def asked_language(question: str) -> set[str]:
@@ -229,18 +231,14 @@ class Speaker:
         self.memo: dict[str, frozenset[str]] = {}
         self.votes: dict[str, str | None] = {}
 
-    def vote(self, text: str, enough: int = 16) -> str | None:
-        """The language of most of the first words that belong to one, or None."""
+    def vote(self, text: str) -> str | None:
+        """The language of most of the words that belong to one, or None."""
         n: dict[str, int] = {}
-        left = enough
         lexicon = self.lexicon
         for w in text.lower().split():
             lang = lexicon.get(w) or lexicon.get(w.strip(".,;:!?¿¡\"'()")) or ("zh" if "㐀" <= w[0] <= "鿿" else None)
             if lang:
                 n[lang] = n.get(lang, 0) + (2 if lang == "zh" else 1)
-                left -= 1
-                if not left:
-                    break
         if not n:
             return None
         best = max(n, key=n.__getitem__)
@@ -261,7 +259,7 @@ class Speaker:
             if len(self.votes) > 50_000:
                 self.votes.clear()
             self.votes[question] = self.vote(question.replace("<image>", " "))
-        # An answer that begins in the question's language is not wholly in another.
+        # An answer most of whose words are of the question's language is not wholly in another.
         a = self.vote(answer)
         if a is not None and a == self.votes[question]:
             return None
@@ -415,14 +413,12 @@ FLUSH = 1_500_000
 
 
 def by_itself(answer: str | None, question: str) -> str | None:
-    """Defects told by the two texts alone; `fine` for an answer too short to have any other."""
+    """Defects told by the two texts alone."""
     if is_empty(answer):
         return "empty"
-    if len(answer) < 4 and not re.search(f"[{lid.CJK}]", answer):
-        return "fine"
     if is_refusal(answer):
         return "refusal"
-    if len(answer) > 5 and is_copy(answer, question):
+    if is_copy(answer, question):
         return "copied"
     return None
 
@@ -452,7 +448,7 @@ def judge(pairs: list[tuple[str | None, str | None]], speaker: Speaker, endings:
     out: list[tuple[str | None, list[int] | None]] = []
     for e, d, (a, q) in zip(early, doubtful, pairs):
         if e:
-            out.append((None if e == "fine" else e, None))
+            out.append((e, None))
         elif d == "other" or d == "ask" and speaker.differ(a, q or ""):
             out.append(("other_language", None))
         else:
@@ -511,8 +507,9 @@ def _scan(src: str, model: lid.Model | None, lexicon: dict[str, str]):
     return run
 
 
-#: A sentence is unfinished if at most this share of its context's sentences end there, the context having been seen so often.
-MOST_ENDS, LEAST_SEEN = 0.02, 8
+#: A sentence is unfinished if at most this share of its context's sentences end there, the context having been seen so often; a
+#: word counts as seen nowhere if it makes up at most this share of all words, as fragments and slips do in a large corpus.
+MOST_ENDS, LEAST_SEEN, NOWHERE = 0.02, 8, 2e-7
 #: Centroids per language; telling questions from answers in another language needs fewer than problem 1.
 CLUSTERS = 16
 
@@ -527,17 +524,21 @@ def defects(pairs: DataFrame, sft: DataFrame, sample_rows: int = 2000) -> DataFr
     scanned = cut(a.unionByName(b))
     doubtful = scanned.where("contexts IS NOT NULL").select("src", "rec_id", "field", F.posexplode("contexts").alias("level", "key"))
     counts = scanned.where("key IS NOT NULL").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("ons").alias("ons"))
-    # Few contexts are asked for again and again: their counts are attached to the distinct ones first.
-    asked = doubtful.select("key").distinct().join(counts, "key", "left")
-    asked = asked.select("key", F.when(F.col("key") == WHOLE, LEAST_SEEN).otherwise(F.coalesce("ends", F.lit(0))).alias("ends"), F.coalesce("ons", F.lit(0)).alias("ons"))
-    seen = doubtful.join(asked, "key").groupBy("src", "rec_id", "field").agg(F.sort_array(F.collect_list(F.struct("level", "ends", "ons"))).alias("c"))
+    total = counts.where(F.col("key").bitwiseAND(F.lit(3)) == 0).agg(F.sum(F.col("ends") + F.col("ons"))).first()[0] or 0
+    # Few contexts are asked for again and again: their counts are attached to the distinct ones first. The two keys that stand
+    # for no context, which a third of all rows may have, need no join.
+    fixed = F.col("key").isin(WHOLE, STOP)
+    asked = doubtful.where(~fixed).select("key").distinct().join(counts, "key", "left").select("key", F.coalesce("ends", F.lit(0)).alias("ends"), F.coalesce("ons", F.lit(0)).alias("ons"))
+    given = doubtful.where(fixed).select("src", "rec_id", "field", "level", F.when(F.col("key") == WHOLE, 1 << 40).otherwise(0).cast("long").alias("ends"), F.lit(0).cast("long").alias("ons"))
+    seen = doubtful.where(~fixed).join(asked, "key").select("src", "rec_id", "field", "level", "ends", "ons").unionByName(given)
+    seen = seen.groupBy("src", "rec_id", "field").agg(F.sort_array(F.collect_list(F.struct("level", "ends", "ons"))).alias("c"))
     rate = [F.col("c")[i]["ends"] / F.greatest(F.lit(1), F.col("c")[i]["ends"] + F.col("c")[i]["ons"]) for i in range(3)]
     n = [F.col("c")[i]["ends"] + F.col("c")[i]["ons"] for i in range(3)]
     unfinished = (
         F.when(n[0] >= LEAST_SEEN, rate[0] <= MOST_ENDS)
         .when(n[1] >= LEAST_SEEN, rate[1] <= MOST_ENDS)
-        .when(n[2] >= LEAST_SEEN, rate[2] <= MOST_ENDS)
-        .otherwise(n[2] == 0)
+        .when((n[2] >= LEAST_SEEN) & (n[2] > NOWHERE * total), rate[2] <= MOST_ENDS)
+        .otherwise(n[2] <= NOWHERE * total)
     )
     cut_off = seen.where(unfinished).select("src", "rec_id", "field", F.lit("truncated").alias("defect"))
     return scanned.where("defect IS NOT NULL").select("src", "rec_id", "field", "defect").unionByName(cut_off)

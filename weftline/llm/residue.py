@@ -147,9 +147,9 @@ class Tree:
 
 # --- Verdicts on templates --------------------------------------------------------------------------------------------
 
-# Phrases of messages a server sends instead of a page.
+# Phrases of messages a server sends instead of a page (templates are in lower case).
 ERROR_PHRASES = re.compile(
-    r"(?i)(?:page|resource|image|file|url|album|gallery)\b.{0,40}\b(?:not found|could not be found|cannot be found|can't be found|does not exist|no longer (?:exists?|available)|has been (?:removed|deleted|moved))|temporarily unavailable"
+    r"(?:page|resource|image|file|url|album|gallery)\b.{0,40}\b(?:not found|could not be found|cannot be found|can't be found|does not exist|no longer (?:exists?|available)|has been (?:removed|deleted|moved))|temporarily unavailable"
     r"|\b(?:internal server error|server error|bad gateway|bad request|service unavailable|gateway time-?out|access denied|forbidden|not found|unauthorized|unauthorised|too many requests|request timed? ?out|invalid request)\b"
     r"|\bhttp(?:/[\d.]+)?\s*(?:error|status|code)?\s*[:#]?\s*(?:[45]\d\d|<\*>)(?!\d)|\b(?:prematurely |unexpectedly )closed\b|\bupstream\b.{0,40}\b(?:connection|connect|timed out|response)|\bgateway\b.{0,20}\b(?:response|timed out)|\bdo(?:es)? not have permission\b|\bsession (?:has )?(?:expired|timed out)|\bsign in (?:once more|again)|something went wrong|went wrong on our side|closed the connection|connection (?:was )?(?:reset|refused|closed)"
     r"|maintenance is under way|under maintenance|we will be back shortly|back shortly|try again (?:in a few|later)|slow down|unexpected error|an error (?:has )?occurred"
@@ -160,7 +160,7 @@ ERROR_PHRASES = re.compile(
 )
 # Phrases that ask the reader to run scripts.
 SCRIPT_PHRASES = re.compile(
-    r"(?i)(?:enable|allow|turn on|activate|require|requires|need|needs|without|disabled|blocks?|blocking|support for|supports?)\b.{0,30}\b(?:java ?scripts?|scripts?|script support|cookies)\b|\b(?:java ?scripts?|scripts?|cookies)\b.{0,30}\b(?:disabled|required|blocked|enabled|turned off|must be|is off)"
+    r"(?:enable|allow|turn on|activate|require|requires|need|needs|without|disabled|blocks?|blocking|support for|supports?)\b.{0,30}\b(?:java ?scripts?|scripts?|script support|cookies)\b|\b(?:java ?scripts?|scripts?|cookies)\b.{0,30}\b(?:disabled|required|blocked|enabled|turned off|must be|is off)"
     r"|\bbrowser\b.{0,30}\b(?:must|needs? to|has to|should)\b.{0,20}\b(?:run|execute|load|allow)\b.{0,20}\b(?:code|scripts?)\b|client-side (?:code|scripts?|scripting)|cannot (?:work|run|be (?:shown|displayed)|display|load) without .{0,20}(?:java ?script|scripts?|script support|cookies)|no-script version|checking your browser"
     r"|(?:habilit\w*|activ\w*|permit\w*|bloque\w*|necesita|requiere|sin)\b.{0,25}\b(?:java ?script|los scripts|scripts?)\b|(?:activer|activez|autoriser|autorisez|bloque|nécessite|sans|désactivé)\b.{0,25}\b(?:java ?script|les scripts|scripts?)\b"
     r"|(?:aktivieren|erlauben|blockier\w+|benötig\w+|ohne|einschalten|deaktiviert)\b.{0,25}\b(?:java ?script|skripte?|scripts?)\b|\b(?:java ?script|skripte?)\b.{0,25}\b(?:aktivieren|erlauben|einschalten|deaktiviert|blockiert)"
@@ -170,7 +170,7 @@ SCRIPT_PHRASES = re.compile(
 FURNITURE = re.compile(r"(?i)^\W*(?:oops|error|sorry|home|menu|search|help|login|contact|album|gallery|image store|archive viewer|photo index|retry|go back|back to|loading|reference|request id|checking your browser|no-script|status|\(c\)|©|copyright|powered by|please wait)\b.{0,60}$|^\W*\(?\w* ?\d+(?:\W+\d+)*\W*$|^\W*$")
 # Words and phrases of texts put in to fill a layout.
 FILLER_PHRASES = re.compile(
-    r"(?i)\blor[eu]m\b|\bipsum\b|dolor sit amet|\basdf|\bqwer|\bblah blah\b|\bfoo bar\b|\b(\w+)(?:\W+\1){2,}\b|\b([a-z])\2{2,}(?:\W+([a-z])\3{2,})+|(?:dummy|sample|placeholder|filler|example|test) (?:text|description|caption|paragraph|content|copy|image|title)|(?:caption|text|description|title|content) (?:goes|comes|will (?:go|be|come)) (?:here|added|replaced)|will be (?:replaced|added|filled in) (?:later|soon)|to be (?:replaced|written|added) later|title of the picture|line two of the title|put (?:the|your) .{0,25}\b(?:here|in this box)"
+    r"\blor[eu]m\b|\bipsum\b|dolor sit amet|\basdf|\bqwer|\bblah blah\b|\bfoo bar\b|\b(\w+)(?:\W+\1){2,}\b|\b([a-z])\2{2,}(?:\W+([a-z])\3{2,})+|(?:dummy|sample|placeholder|filler|example|test) (?:text|description|caption|paragraph|content|copy|image|title)|(?:caption|text|description|title|content) (?:goes|comes|will (?:go|be|come)) (?:here|added|replaced)|will be (?:replaced|added|filled in) (?:later|soon)|to be (?:replaced|written|added) later|title of the picture|line two of the title|put (?:the|your) .{0,25}\b(?:here|in this box)"
     r"|texto (?:de ejemplo|de relleno|de prueba|provisional)|para la maqueta|aquí (?:irá|va) |(?:descripción|leyenda|pie de foto|título) (?:definitiv[ao]|provisional|de ejemplo)|se (?:sustituirá|reemplazará|añadirá)|título de la imagen|\bprueba prueba"
     r"|texte (?:provisoire|d'exemple|de remplissage|factice|fictif)|pour la maquette|(?:légende|description|titre|texte) (?:définiti(?:f|ve)|provisoire) |viendra ici|sera remplacé|\bessai essai"
     r"|platzhalter|blindtext|mustertext|beispieltext|hier folgt|hier steht später|für das layout|wird (?:später )?(?:ersetzt|ergänzt|nachgereicht)|testtext"
