@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
@@ -61,7 +62,13 @@ REFUSALS = {
 }
 _REFUSAL = {k: re.compile(v) for k, v in REFUSALS.items()}
 # Every refusal holds one of these; most answers hold none.
-_CUES = (" i ", " i'", " my ", " me", "something i", "puedo", "debo ", "tengo ", " mis ", "prefiero", " tema no", " mi ", " mí", "no me ", "rechaz", "declin", "no voy", "no quiero", "soy ", "las normas", "las reglas", "las directrices", "las políticas", "je ", "j'", " mes ", "m'", "les règles", "les directives", "les consignes", "ich ", "meine ", " mir ", "我", "规定", "准则", "规则", "政策")
+_CUES = {
+    "en": (" i ", " i'", " my ", " me", "something i"),
+    "es": ("puedo", "debo ", "tengo ", " mis ", "prefiero", " tema no", " mi ", " mí", "no me ", "rechaz", "declin", "no voy", "no quiero", "soy ", "las normas", "las reglas", "las directrices", "las políticas", "las instrucciones"),
+    "fr": ("je ", "j'", " mes ", "m'", "les règles", "les directives", "les consignes"),
+    "de": ("ich ", "meine ", " mir "),
+    "zh": ("我", "规定", "准则", "规则", "政策"),
+}
 _ANNOUNCE = re.compile(
     r"^\W*(?:(?:you|he|she|they) (?:asked|are asking|ask|wrote|said)|(?:the |your |my )?(?:question|prompt|q|instruction)(?: is| was)?|frage|die frage(?: lautet| ist)?|sie fragen|du fragst|ihre frage|pregunta|la pregunta es|usted pregunta|preguntas|question posée|la question est|vous demandez|tu demandes|您问的是|你问的是|您的问题是|你的问题是|问题是|问题|问)\s*[:：,，]?\s*", re.I)
 _TOKEN = re.compile(f"[{lid.CJK}]|[^\\W_{lid.CJK}]+")
@@ -207,11 +214,15 @@ def is_empty(answer: str | None) -> bool:
 
 def is_refusal(answer: str) -> bool:
     low = " " + answer.lower().replace("’", "'").replace("‘", "'")
-    if not any(c in low for c in _CUES):
+    cued = [_REFUSAL[k] for k, cues in _CUES.items() if any(c in low for c in cues)]
+    if not cued:
         return False
     low = lid._QUOTES.sub(" ", low)
+    cued = [p for p in cued if p.search(low)]
+    if not cued:
+        return False
     parts = [s for s in _SENTENCES.split(low) if s and words_of(s)]
-    refusing = [any(p.search(s) for p in _REFUSAL.values()) for s in parts]
+    refusing = [any(p.search(s) for p in cued) for s in parts]
     if not any(refusing):
         return False
     # Wherever the refusal stands, little else is said; questions back to the asker are nothing else.
@@ -229,16 +240,21 @@ class Speaker:
     def __init__(self, model: lid.Model | None, lexicon: dict[str, str]) -> None:
         self.model, self.lexicon = model, lexicon
         self.memo: dict[str, frozenset[str]] = {}
+        self.known: dict[str, str | None] = {}
         self.votes: dict[str, str | None] = {}
 
     def vote(self, text: str) -> str | None:
         """The language of most of the words that belong to one, or None."""
-        n: dict[str, int] = {}
-        lexicon = self.lexicon
-        for w in text.lower().split():
-            lang = lexicon.get(w) or lexicon.get(w.strip(".,;:!?¿¡\"'()")) or ("zh" if "㐀" <= w[0] <= "鿿" else None)
-            if lang:
-                n[lang] = n.get(lang, 0) + (2 if lang == "zh" else 1)
+        known = self.known
+        if len(known) > 500_000:
+            known.clear()
+        words = text.lower().split()
+        for w in set(words).difference(known):
+            known[w] = self.lexicon.get(w) or self.lexicon.get(w.strip(".,;:!?¿¡\"'()")) or ("zh" if "㐀" <= w[0] <= "鿿" else None)
+        n = Counter(map(known.__getitem__, words))
+        n.pop(None, None)
+        if "zh" in n:  # words without blanks between them
+            n["zh"] *= 2
         if not n:
             return None
         best = max(n, key=n.__getitem__)
