@@ -128,11 +128,17 @@ def test_signatures_and_clusters(spark):
 
 
 def test_experiment():
-    from weftline.plans.builders import Experiment
-
-    ok = {"name": "x", "pretrain": {"epochs": 1}, "sft": {"fast": True}, "grpo": {"target_kl": 0.1}, "evaluation": {"conditions": ["correct", "black"]}}
-    env = Experiment.of(ok).environment()
-    assert env["SEED"] == "42" and env["SFT_FAST"] == "1" and env["EVALUATION_CONDITIONS"] == "correct black"
-    for bad in ({**ok, "grpo": {"target_kl": 0}}, {**ok, "evaluation": {"conditions": ["blue"]}}, {"name": "x"}):
+    from weftline.plans.builders import VARIABLES, Experiment
+
+    ok = {k: {} for k in ("pretrain", "sft", "grpo", "evaluation")}
+    for name in VARIABLES:
+        section, key = name.split(".")
+        ok[section][key] = 64 if key == "batch_size" else True if key == "adaptive_beta" else 0.1
+    ok["evaluation"]["conditions"] = ["correct", "black", "shuffled"]
+    env = Experiment.of(ok).environment({"HOME": "/x"})
+    assert env["GRPO_ADAPTIVE_BETA"] == "1" and env["SFT_BATCH_SIZE"] == "64" and env["PIPELINE_SEED"] == "42" and env["EVAL_CONDITIONS"] == "correct black shuffled" and env["HOME"] == "/x"
+    assert len(env) == 18 and Experiment.of({**ok, "seed": 7}).environment()["PIPELINE_SEED"] == "7"
+    less = {k: v for k, v in ok["sft"].items() if k != "epochs"}
+    for bad in ({**ok, "grpo": {**ok["grpo"], "target_kl": 0}}, {**ok, "evaluation": {**ok["evaluation"], "conditions": ["blue"]}}, {**ok, "evaluation": {**ok["evaluation"], "samples": 0}}, {**ok, "sft": less}, {"sft": {}}, {**ok, "evaluation": {"samples": 1}}):
         with pytest.raises(ValueError):
             Experiment.of(bad)

@@ -34,7 +34,7 @@ def test_cyclic_lead_over_every_image(spark):
     if not os.path.isdir(DATA):
         pytest.skip("no test tables")
     docs = spark.read.parquet(f"{DATA}/documents.parquet").where("image_id IS NOT NULL")
-    got = entry.queries()["cyclic_lead_all"](spark, DATA)
+    got = entry.queries()["cyclic_lead"](spark, DATA)
     assert got.count() == docs.count()
     assert got.select("image_id", "next_id").exceptAll(docs.select("image_id", "doc_id")).count() == 0
 
@@ -52,7 +52,7 @@ def test_choice_letter_in_any_script(spark):
         assert got[i] == (m and m[1], n[1].upper() if n else ""), t
 
 
-@pytest.mark.parametrize("name", ["choice_letter_all", "preference_quality_all"])
+@pytest.mark.parametrize("name", ["choice_letter", "preference_quality"])
 def test_pairs_of_any_script_against_sql(spark, name, tmp_path):
     duckdb = pytest.importorskip("duckdb")
     rows = [(i, t, u) for i, (t, u) in enumerate(zip(["two words", "no\u00a0break", "宽\u3000格", "one", None, "yes", "a b\u200b"] * 3, ANSWERS))]
@@ -61,7 +61,7 @@ def test_pairs_of_any_script_against_sql(spark, name, tmp_path):
     con.execute(f"CREATE VIEW preference_pairs AS SELECT * FROM read_parquet('{tmp_path}/preference_pairs.parquet/*.parquet')")
     got = entry.queries()[name](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(con.execute(entry.oracle_sql()[name]).fetchall(), key=str)
-    assert got.count() == (len(rows) if name == "choice_letter_all" else len([1 for _, c, r in rows if len((c or "").split()) > 1 and (r or "").split()]))
+    assert got.count() == (len(rows) if name == "choice_letter" else len([1 for _, c, r in rows if len((c or "").split()) > 1 and (r or "").split()]))
 
 
 def test_near_duplicates_at_the_threshold(spark, tmp_path):

@@ -20,6 +20,21 @@ def first_content(t: Column, role: str, default: str | None = "") -> Column:
     return F.coalesce(c, F.lit(default)) if default is not None else c
 
 
+def lifted_functions(t: Column) -> Column:
+    """The functions that the first turn offers as tools, if it is a system turn that has any; else NULL."""
+    first = F.get(t, F.lit(0))
+    return F.when(first["role"] == "system", first["functions"])
+
+
+def as_list(image: Column, is_array: bool) -> Column:
+    """One image or several as an array; NULL stays NULL."""
+    return image if is_array else F.when(image.isNotNull(), F.array(image))
+
+
+def first_image(image: Column, is_array: bool) -> Column:
+    return F.get(image, F.lit(0)) if is_array else image
+
+
 def index_of_role(t: Column, role: str, last: bool = False) -> Column:
     """Position of the first or last turn of a role, from 0; -1 if there is none."""
     roles = F.transform(t, lambda x: x["role"])

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.operators.relational import running_total
+
 
 def leave_one_out_consensus(matches: Column, answers: Column) -> Column:
     """Mean over the annotators of min(1, matches among the others / 3), from the number of matches among all."""
@@ -39,9 +41,9 @@ def expected_calibration_error(df: DataFrame, label: Column, confidence: Column,
 
 
 def rank_table(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Adds the average rank of equal values, by counts of distinct values: one global window over distinct values only."""
-    c = df.groupBy(value).agg(F.count("*").alias("_n")).withColumn("_b", F.sum("_n").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, -1)))
-    return df.join(c.select(value, (F.coalesce("_b", F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(out)), value)
+    """Adds the average rank of equal values, from the counts of distinct values summed up range by range."""
+    c = running_total(df.groupBy(value).agg(F.count("*").alias("_n")), "_n", "_b", value)
+    return df.hint("merge").join(c.select(value, (F.col("_b") + (F.col("_n") + 1) / 2.0).alias(out)), value)
 
 
 def area_under_curve(df: DataFrame, label: str, score: str) -> DataFrame:

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from weftline.session import cut
 
 
+#: Items of a pool of negatives at most.
+POOL = 10_000
+
+
 def draw_key(seed: int, *ids: str) -> Column:
     """Pseudo-random order of rows: a hash of the seed and the ids."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(i).cast("string") for i in ids]))
@@ -63,9 +67,13 @@ def cooccurrence(pairs: DataFrame, group: str, item: str) -> DataFrame:
 
 
 def negatives(pairs: DataFrame, group: str, item: str, k: int, seed: int, pool: DataFrame) -> DataFrame:
-    """Up to k items of a small `pool` (column item) absent from each group. The pool is broadcast; callers pass at most some hundreds of items."""
+    """Up to k items of a small `pool` (column item) absent from each group. The pool, of at most POOL items, is broadcast; a larger
+    one raises an error, as each group is compared with all of it: draw from it first."""
     groups = pairs.select(group).distinct()
-    absent = groups.join(F.broadcast(pool.select(item).distinct())).join(pairs.select(group, item).distinct(), [group, item], "left_anti")
+    pool = cut(pool.select(item).distinct())
+    if pool.count() > POOL:
+        raise ValueError(f"a pool of more than {POOL} items")
+    absent = groups.join(F.broadcast(pool)).join(pairs.select(group, item).distinct(), [group, item], "left_anti")
     w = W.partitionBy(group).orderBy(draw_key(seed, group, item), item)
     return absent.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
@@ -102,6 +110,25 @@ def next_cyclic(df: DataFrame, order: str, value: str, out: str, *partition: str
     return rows.join(ends, on).select(*df.columns, following.alias(out))
 
 
+def global_rank(df: DataFrame, out: str, *order: str) -> DataFrame:
+    """Adds the position of each row in the total order, from 0: rows are ranked inside ranges, the sizes of the ranges, one row
+    each, are summed up."""
+    rows = cut(df.repartitionByRange(*order).withColumn("_block", F.spark_partition_id()))
+    sizes = rows.groupBy("_block").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(W.partitionBy("_block").orderBy(*order)) - 1
+    return rows.withColumn("_own", rank).join(F.broadcast(sizes.select("_block", before.alias("_from"))), "_block").withColumn(out, F.col("_own") + F.col("_from")).drop("_own", "_from", "_block")
+
+
+def running_total(df: DataFrame, value: str, out: str, order: str) -> DataFrame:
+    """Adds the sum of `value` over all rows before in the order of the distinct values `order`, range by range."""
+    rows = cut(df.repartitionByRange(order).withColumn("_block", F.spark_partition_id()))
+    sums = rows.groupBy("_block").agg(F.sum(value).alias("_n"))
+    inside = F.coalesce(F.sum(value).over(W.partitionBy("_block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    start = F.coalesce(F.sum("_n").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_own", inside).join(F.broadcast(sums.select("_block", start.alias("_from"))), "_block").withColumn(out, F.col("_own") + F.col("_from")).drop("_own", "_from", "_block")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     """New values replace old ones, other keys stay."""
     o, n = old.select(key, F.col(value).alias("_o")), new.select(key, F.col(value).alias("_n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.operators import conversations as C
+from weftline.operators import evaluation as E
 from weftline.operators import relational as R
 
 
@@ -37,6 +38,48 @@ def multitask(parts: list[DataFrame], seed: int) -> DataFrame:
     return kept.orderBy(R.draw_key(seed, "task", "id"), "task", "id")
 
 
+def choice_rows(choices: DataFrame, n: int, seed: int) -> DataFrame:
+    """(id, image_id, task, conversations): n drawn questions of (index, question, options, answer) with their options."""
+    picked = R.sample_rows(choices, n, seed, "index") if n else choices
+    return picked.select(F.col("index").alias("id"), F.col("index").alias("image_id"), F.lit("mcq").alias("task"), C.two_turns(E.choice_prompt(F.col("question"), F.col("options")), F.col("answer")).alias("conversations"))
+
+
+def knowledge_rows(questions: DataFrame, votes: DataFrame, n: int, seed: int, suffix: str = "") -> tuple[DataFrame, DataFrame]:
+    """(conversations, pairs) of n drawn questions: the most frequent answer, and it against the runner-up, `unknown` if there is none."""
+    r = R.ranked_answers(votes, "question_id", "answer", "pos").where("rank <= 2")
+    top = r.groupBy("question_id").agg(F.max(F.when(F.col("rank") == 1, F.col("answer"))).alias("chosen"), F.max(F.when(F.col("rank") == 2, F.col("answer"))).alias("rejected"))
+    rows = questions.select("question_id", "image_id", "question").join(top, "question_id")
+    rows = R.sample_rows(rows, n, seed, "question_id") if n else rows
+    prompt = F.concat("question", F.lit(suffix))
+    talks = rows.select(F.col("question_id").alias("id"), "image_id", C.two_turns(F.col("question"), F.col("chosen"), suffix).alias("conversations"))
+    return talks, rows.select(F.col("question_id").alias("id"), "image_id", prompt.alias("prompt"), "chosen", F.coalesce("rejected", F.lit("unknown")).alias("rejected"))
+
+
+def spatial_questions(boxes: DataFrame, pool: DataFrame, absent: int, seed: int) -> DataFrame:
+    """(image_id, question, answer) of images with at least two boxes (image_id, category, position): where the only one of its
+    category is, how many there are of each, and whether there is one of `absent` drawn categories that are not there."""
+    per = boxes.groupBy("image_id", "category").agg(F.count("*").alias("n"), F.min("position").alias("position"))
+    big = per.groupBy("image_id").agg(F.sum("n").alias("_all")).where("_all >= 2").select("image_id")
+    per = per.join(big, "image_id", "left_semi")
+    name = F.col("category")
+    where = per.where("n = 1").select("image_id", F.concat(F.lit("Where is the "), name, F.lit(" in the image? Answer with a single word: left, right, top, bottom or center.")).alias("question"), F.col("position").alias("answer"))
+    many = per.select("image_id", F.concat(F.lit("How many "), name, F.lit("s are in the image? Answer with an integer only.")).alias("question"), F.col("n").cast("string").alias("answer"))
+    none = R.negatives(per, "image_id", "category", absent, seed, pool).select("image_id", F.concat(F.lit("Is there a "), name, F.lit(" in the image? Answer yes or no.")).alias("question"), F.lit("no").alias("answer"))
+    return where.unionByName(many).unionByName(none)
+
+
+def ratio_sweep(a: DataFrame, b: DataFrame, variants: dict[str, tuple[int, int]], seed: int, *ids: str) -> DataFrame:
+    """(variant, ...): for each variant so many drawn rows of either table; the draws of a table are prefixes of each other."""
+    parts = [R.union_all([R.sample_rows(a, n, seed, *ids), R.sample_rows(b, m, seed, *ids)]).select(F.lit(name).alias("variant"), "*") for name, (n, m) in variants.items()]
+    return R.union_all(parts)
+
+
+def capped_rows(files: dict[str, DataFrame], cap: int, *order: str) -> DataFrame:
+    """(file, ...): the first `cap` rows of each file in the given order (0: all)."""
+    parts = [(d.orderBy(*order).limit(cap) if cap else d).select(F.lit(name).alias("file"), "*") for name, d in files.items()]
+    return R.union_all(parts)
+
+
 def existence_questions(present: DataFrame, absent: DataFrame, group: str, item: str) -> DataFrame:
     """(group, item, label, question): yes for present items, no for absent ones."""
     ask = F.concat(F.lit("Is there a "), F.col(item), F.lit(" in the image?"))
@@ -66,45 +109,47 @@ def reward_subset(sft: DataFrame, n: int, seed: int, least: int = 8, most: int =
 
 def batches(df: DataFrame, size: int, skip: int, seed: int, *ids: str) -> DataFrame:
     """Adds `batch` in the drawn order of an epoch, leaving out the first `skip` batches (a resumed run)."""
-    from pyspark.sql import Window as W
-
-    rank = F.row_number().over(W.orderBy(R.draw_key(seed, *ids), *ids))
-    return df.withColumn("batch", F.floor((rank - 1) / size)).where(F.col("batch") >= skip)
+    ranked = R.global_rank(df.withColumn("_k", R.draw_key(seed, *ids)), "_rank", "_k", *ids)
+    return ranked.withColumn("batch", F.floor(F.col("_rank") / size)).where(F.col("batch") >= skip).drop("_k", "_rank")
 
 
+# The conditions of an evaluation, and the settings of an experiment with the names of their variables.
 CONDITIONS = ("correct", "black", "shuffled")
+VARIABLES = {
+    "pretrain.epochs": "PRETRAIN_EPOCHS", "pretrain.batch_size": "PRETRAIN_BATCH_SIZE", "pretrain.learning_rate": "PRETRAIN_LR",
+    "sft.epochs": "SFT_EPOCHS", "sft.batch_size": "SFT_BATCH_SIZE", "sft.learning_rate": "SFT_LR",
+    "grpo.samples": "GRPO_SAMPLES", "grpo.group_size": "GRPO_GROUP_SIZE", "grpo.ppo_epochs": "GRPO_PPO_EPOCHS", "grpo.learning_rate": "GRPO_LR",
+    "grpo.beta": "GRPO_BETA", "grpo.adaptive_beta": "GRPO_ADAPTIVE_BETA", "grpo.target_kl": "GRPO_TARGET_KL", "grpo.kl_stop": "GRPO_KL_STOP", "evaluation.samples": "EVAL_SAMPLES",
+}
 
 
 @dataclass
 class Experiment:
-    """A validated experiment configuration."""
+    """A validated experiment configuration: every setting of VARIABLES by section and name, the conditions and the seed."""
 
-    name: str
-    pretrain: dict = field(default_factory=dict)
-    sft: dict = field(default_factory=dict)
-    grpo: dict = field(default_factory=dict)
-    evaluation: dict = field(default_factory=dict)
+    settings: dict[str, object]
+    conditions: list[str]
     seed: int = 42
 
     @classmethod
     def of(cls, config: dict) -> Experiment:
-        missing = [k for k in ("name", "pretrain", "sft", "grpo", "evaluation") if k not in config]
-        if missing:
-            raise ValueError(f"missing sections: {', '.join(missing)}")
-        unknown = set(config["evaluation"].get("conditions", ())) - set(CONDITIONS)
-        if unknown:
-            raise ValueError(f"unknown conditions: {', '.join(sorted(unknown))}")
-        if config["grpo"].get("target_kl", 1) <= 0:
-            raise ValueError("target_kl must be positive")
-        return cls(**{k: config[k] for k in ("name", "pretrain", "sft", "grpo", "evaluation")}, seed=config.get("seed", 42))
-
-    def environment(self) -> dict[str, str]:
-        """Flat settings as strings: flags as 1 and 0, lists joined by blanks."""
-
-        def text(v) -> str:
-            return str(int(v)) if isinstance(v, bool) else " ".join(map(str, v)) if isinstance(v, (list, tuple)) else str(v)
-
-        out = {"SEED": str(self.seed)}
-        for section in ("pretrain", "sft", "grpo", "evaluation"):
-            out |= {f"{section}_{k}".upper(): text(v) for k, v in getattr(self, section).items()}
-        return out
+        sections = {name.split(".")[0] for name in VARIABLES}
+        lost = sorted(s for s in sections if not isinstance(config.get(s), dict))
+        if lost:
+            raise ValueError(f"missing configuration sections: {', '.join(lost)}")
+        flat = {f"{s}.{k}": v for s in sections for k, v in config[s].items()}
+        lost = [name for name in VARIABLES if name not in flat]
+        if lost:
+            raise ValueError(f"missing configuration values: {', '.join(lost)}")
+        for name in ("grpo.target_kl", "evaluation.samples"):
+            if not flat[name] > 0:
+                raise ValueError(f"{name} must be positive")
+        conditions = list(flat.get("evaluation.conditions") or ())
+        if not conditions or set(conditions) - set(CONDITIONS):
+            raise ValueError(f"evaluation.conditions must name some of {', '.join(CONDITIONS)}")
+        return cls({name: flat[name] for name in VARIABLES}, conditions, config.get("seed", 42))
+
+    def environment(self, base: dict[str, str] | None = None) -> dict[str, str]:
+        """`base` and the settings as strings: flags as 1 and 0, conditions joined by blanks."""
+        text = {name: str(int(v) if isinstance(v, bool) else v) for name, v in self.settings.items()}
+        return {**(base or {}), **{VARIABLES[n]: t for n, t in text.items()}, "PIPELINE_SEED": str(self.seed), "EVAL_CONDITIONS": " ".join(self.conditions)}

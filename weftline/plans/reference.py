@@ -196,18 +196,11 @@ def yesno_parse(s, d):
     return table(s, d, "preference_pairs").select("pair_id", T.yes_no_prefix(F.col("chosen")).alias("by_prefix"), T.yes_no_pattern(F.col("chosen")).alias("by_pattern"))
 
 
-@query(r"""SELECT pair_id, coalesce(nullif(regexp_extract(trim(coalesce(rejected, '')), '\b([ABCD])\b', 1), ''), nullif(regexp_extract(trim(coalesce(rejected, '')), '(?i)answer\s*[:\-]?\s*([ABCD])', 1), '')) AS letter, upper(regexp_extract(coalesce(rejected, ''), '(?i)\b([A-D])\b', 1)) AS any_case, coalesce(TRY_CAST(regexp_extract(coalesce(rejected, ''), '([0-9]+(?:\.[0-9]+)?)', 1) AS DOUBLE), 3.0) AS score FROM preference_pairs WHERE regexp_full_match(coalesce(rejected, ''), '[\x00-\x7f]*')""")
-def choice_letter(s, d):
-    p = table(s, d, "preference_pairs").where(F.coalesce("rejected", F.lit("")).rlike(r"^[\x00-\x7f]*$"))
-    return p.select("pair_id", T.choice_letter(F.col("rejected")).alias("letter"), T.choice_letter_any_case(F.col("rejected")).alias("any_case"), T.judge_score(F.col("rejected")).alias("score"))
-
-
 SPACES_SQL = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*"
 
 
 @query(rf"""SELECT pair_id, coalesce(nullif(regexp_extract(trim(coalesce(rejected, '')), '{T.ALONE % "ABCD"}', 1), ''), nullif(regexp_extract(trim(coalesce(rejected, '')), '(?i)answer{SPACES_SQL}[:\-]?{SPACES_SQL}([ABCD])', 1), '')) AS letter, upper(regexp_extract(coalesce(rejected, ''), '{T.ALONE % "A-Da-d"}', 1)) AS any_case, coalesce(TRY_CAST(regexp_extract(translate(coalesce(rejected, ''), '０１２３４５６７８９', '0123456789'), '([0-9]+(?:\.[0-9]+)?)', 1) AS DOUBLE), 3.0) AS score FROM preference_pairs""")
-def choice_letter_all(s, d):
-    """`choice_letter`, whose SQL leaves out answers that are not plain ASCII, over every pair."""
+def choice_letter(s, d):
     return table(s, d, "preference_pairs").select("pair_id", T.choice_letter(F.col("rejected")).alias("letter"), T.choice_letter_any_case(F.col("rejected")).alias("any_case"), T.judge_score(F.col("rejected")).alias("score"))
 
 
@@ -224,15 +217,8 @@ def refusal_rates(s, d):
     return p.agg(F.count("*").alias("n"), F.count_if("refusal").alias("refusals"), F.count_if("empty").alias("empties"), F.count_if(~F.col("refusal") & ~F.col("empty") & ~F.col("hedge")).alias("concrete"))
 
 
-@query("""SELECT pair_id FROM preference_pairs WHERE lower(trim(chosen)) NOT IN ('yes', 'no') AND len(list_filter(regexp_split_to_array(trim(chosen), '\\s+'), lambda w: w <> '')) >= 2 AND len(list_filter(regexp_split_to_array(trim(rejected), '\\s+'), lambda w: w <> '')) >= 1 AND NOT regexp_matches(chosen || rejected, '[\\x{85}\\x{a0}\\x{2000}-\\x{200b}\\x{3000}]')""")
-def preference_quality(s, d):
-    p = table(s, d, "preference_pairs").where(~F.concat("chosen", "rejected").rlike(r"[\x{85}\x{a0}\x{2000}-\x{200b}\x{3000}]"))
-    return p.where(~F.lower(F.trim("chosen")).isin("yes", "no") & (T.word_count(F.col("chosen")) >= 2) & (T.word_count(F.col("rejected")) >= 1)).select("pair_id")
-
-
 @query(f"""SELECT pair_id FROM preference_pairs WHERE lower(trim(chosen)) NOT IN ('yes', 'no') AND len({WORDS_SQL.replace('{0}', 'chosen')}) >= 2 AND len({WORDS_SQL.replace('{0}', 'rejected')}) >= 1""")
-def preference_quality_all(s, d):
-    """`preference_quality`, whose SQL leaves out pairs with no-break or wide blanks, over every pair."""
+def preference_quality(s, d):
     return table(s, d, "preference_pairs").where(~F.lower(F.trim("chosen")).isin("yes", "no") & (T.word_count(F.col("chosen")) >= 2) & (T.word_count(F.col("rejected")) >= 1)).select("pair_id")
 
 
@@ -341,14 +327,8 @@ def dedup_exact_keep_first(s, d):
     return x.groupBy("task", "image", "talk").agg(F.min("row_id").alias("row_id"))
 
 
-@query("SELECT doc_id, image_id, coalesce(lead(doc_id) OVER (PARTITION BY image_id ORDER BY doc_id), first_value(doc_id) OVER (PARTITION BY image_id ORDER BY doc_id)) AS next_id FROM documents WHERE image_id IS NOT NULL AND image_id <> 417")
-def cyclic_lead(s, d):
-    return R.next_cyclic(table(s, d, "documents").where("image_id IS NOT NULL AND image_id <> 417").select("doc_id", "image_id"), "doc_id", "doc_id", "next_id", "image_id")
-
-
 @query("SELECT doc_id, image_id, coalesce(lead(doc_id) OVER (PARTITION BY image_id ORDER BY doc_id), first_value(doc_id) OVER (PARTITION BY image_id ORDER BY doc_id)) AS next_id FROM documents WHERE image_id IS NOT NULL")
-def cyclic_lead_all(s, d):
-    """`cyclic_lead`, whose SQL leaves out the most frequent image, over every image."""
+def cyclic_lead(s, d):
     return R.next_cyclic(table(s, d, "documents").where("image_id IS NOT NULL").select("doc_id", "image_id"), "doc_id", "doc_id", "next_id", "image_id")
 
 
@@ -388,9 +368,9 @@ def cider(s, d):
     return M.cider(_captions(s, d)).select("id", F.round("cider", 5).alias("cider"))
 
 
-@query(f"""WITH {_captions_sql()}, j AS (SELECT p.id, r.ref, list_distinct(p.tok) AS a, list_distinct(r.tok) AS b FROM cap p JOIN cap r ON p.id = r.id AND p.ref = -1 AND r.ref = 0) SELECT id, round(1 - len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS distance FROM j""")
+@query(f"""WITH {_captions_sql()}, j AS (SELECT p.id, r.ref, list_distinct(p.tok) AS a, list_distinct(r.tok) AS b FROM cap p JOIN cap r ON p.id = r.id AND p.ref = -1 AND r.ref >= 0) SELECT id, ref, round(1 - len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS distance FROM j""")
 def jaccard(s, d):
-    return _captions(s, d).select("id", r6(M.jaccard_distance(F.col("pred"), F.col("refs")[0])).alias("distance"))
+    return _captions(s, d).select("id", "pred", F.posexplode("refs").alias("ref", "tok")).select("id", F.col("ref").cast("long").alias("ref"), r6(M.jaccard_distance(F.col("pred"), F.col("tok"))).alias("distance"))
 
 
 @query(None)
@@ -403,11 +383,16 @@ def caption_metric_bundle(s, d):
     return M.caption_metrics(_captions(s, d))
 
 
-@query(f"""WITH {_captions_sql()}, b AS (SELECT id, tok, list_transform(range(1, len(tok)), lambda i: tok[i] || ' ' || tok[i + 1]) AS bi FROM cap WHERE ref = -1), o AS (SELECT p.id, sum(least(p.tf, r.tf)) AS hit FROM (SELECT id, w, count(*) AS tf FROM (SELECT id, unnest(tok) AS w FROM cap WHERE ref = -1) GROUP BY ALL) p JOIN (SELECT id, w, count(*) AS tf FROM (SELECT id, unnest(tok) AS w FROM cap WHERE ref = 0) GROUP BY ALL) r ON p.id = r.id AND p.w = r.w GROUP BY p.id), r0 AS (SELECT id, len(tok) AS lr FROM cap WHERE ref = 0)
-SELECT b.id, round(CASE WHEN coalesce(hit, 0) > 0 THEN 2.0 * hit / (len(tok) + lr) ELSE 0 END, 6) AS f1, round(CASE WHEN len(tok) < 2 THEN 0.0 ELSE 1 - len(list_distinct(bi)) / greatest(len(bi), 1) END, 6) AS repetition FROM b JOIN r0 ON b.id = r0.id LEFT JOIN o ON b.id = o.id""")
+F1_SQL = """tf AS (SELECT id, ref, w, count(*) AS tf FROM (SELECT id, ref, unnest(tok) AS w FROM cap) GROUP BY ALL), hit AS (SELECT r.id, r.ref, sum(least(p.tf, r.tf)) AS hit FROM tf p JOIN tf r ON p.id = r.id AND p.w = r.w AND p.ref = -1 AND r.ref >= 0 GROUP BY ALL),
+f1 AS (SELECT p.id, max(2.0 * coalesce(hit, 0) / (len(p.tok) + len(r.tok))) AS f1 FROM cap p JOIN cap r ON p.id = r.id AND p.ref = -1 AND r.ref >= 0 LEFT JOIN hit ON hit.id = r.id AND hit.ref = r.ref GROUP BY p.id),
+rep AS (SELECT id, CASE WHEN len(tok) < 2 THEN 0.0 ELSE 1 - len(list_distinct(list_transform(range(1, len(tok)), lambda i: tok[i] || ' ' || tok[i + 1]))) / (len(tok) - 1) END AS repetition FROM cap WHERE ref = -1)"""
+
+
+@query(f"WITH {_captions_sql()}, {F1_SQL} SELECT id, round(f1, 6) AS f1, round(repetition, 6) AS repetition FROM f1 JOIN rep USING (id)")
 def reward_parts(s, d):
     c = _captions(s, d)
-    return c.select("id", r6(RW.unigram_f1(F.col("pred"), F.col("refs")[0])).alias("f1"), r6(RW.repetition(F.col("pred"))).alias("repetition"))
+    best = F.array_max(F.transform("refs", lambda r: RW.unigram_f1(F.col("pred"), r)))
+    return c.select("id", r6(best).alias("f1"), r6(RW.repetition(F.col("pred"))).alias("repetition"))
 
 
 @query(None)
@@ -466,12 +451,16 @@ def setting_summary(s, d):
     return _binary(s, d, "event_type")
 
 
-@query("""WITH x AS (SELECT (user_id % 2)::DOUBLE AS y, value / (1 + (SELECT max(value) FROM events)) AS c FROM events WHERE value >= 0), b AS (SELECT least(floor(c * 10)::INT, 9) AS bin, count(*) AS n, sum(y) AS y, sum(c) AS c FROM x GROUP BY 1) SELECT round(sum(abs(y - c)) / sum(n), 6) AS ece FROM b""")
+CONFIDENCE_SQL = "x AS (SELECT (user_id % 2)::DOUBLE AS y, 1 / (1 + exp(-coalesce(value, 0) / 50)) AS c FROM events)"
+
+
+def _confidences(s, d):
+    return table(s, d, "events").select((F.col("user_id") % 2).alias("y"), (1 / (1 + F.exp(-F.coalesce("value", F.lit(0.0)) / 50))).alias("c"))
+
+
+@query(f"""WITH {CONFIDENCE_SQL}, b AS (SELECT least(floor(c * 10)::INT, 9) AS bin, count(*) AS n, sum(y) AS y, sum(c) AS c FROM x GROUP BY 1) SELECT round(sum(abs(y - c)) / sum(n), 6) AS ece FROM b""")
 def ece(s, d):
-    e = table(s, d, "events").where("value >= 0")
-    top = table(s, d, "events").agg((F.max("value") + 1).alias("top"))
-    e = e.join(F.broadcast(top)).select((F.col("user_id") % 2).alias("y"), (F.col("value") / F.col("top")).alias("c"))
-    return G.expected_calibration_error(e, F.col("y"), F.col("c")).select(r6("ece").alias("ece"))
+    return G.expected_calibration_error(_confidences(s, d), F.col("y"), F.col("c")).select(r6("ece").alias("ece"))
 
 
 @query("""WITH x AS (SELECT (user_id % 2) AS y, value AS s FROM events WHERE value IS NOT NULL), r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r FROM x), a AS (SELECT sum(CASE WHEN y = 1 THEN r END) AS rs, count_if(y = 1) AS p, count_if(y = 0) AS n FROM r) SELECT round((rs - p * (p + 1) / 2.0) / (p * n), 6) AS auc, round(1 - (rs - p * (p + 1) / 2.0) / (p * n), 6) AS descending_statistic FROM a""")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import io
+import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,9 +19,63 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     return df.select(*columns) if columns else df
 
 
-def existing(paths: list[str]) -> list[str]:
-    """The paths that exist; for unions of optional inputs."""
-    return [p for p in paths if os.path.exists(p)]
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of a path on any store."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths that exist, on whatever store; for unions of optional inputs."""
+    return [p for p in paths if exists(spark, p)]
+
+
+def result_directories(spark: SparkSession, root: str, name: str) -> list[str]:
+    """Folders below `root` that hold a file `name`, sorted."""
+    fs, p = _hadoop(spark, f"{root.rstrip('/')}/*/{name}")
+    return sorted(x.getPath().getParent().toString() for x in fs.globStatus(p) or [])
+
+
+def read_arrow_directory(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A data set saved as Arrow files (streams or files) in a folder, read file by file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0):
+                data = pa.py_buffer(content.as_py())
+                opened = pa.ipc.open_file(data) if data.to_pybytes()[:6] == b"ARROW1" else pa.ipc.open_stream(data)
+                yield from opened.read_all().to_batches()
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.arrow").load(path)
+    return files.select("content").mapInArrow(run, schema)
+
+
+def zip_index(spark: SparkSession, path: str) -> DataFrame:
+    """(image_id, archive, member) of the images inside zip archives, by the twelve digits of their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for archive, content in zip(b.column(0).to_pylist(), b.column(1)):
+                names = zipfile.ZipFile(io.BytesIO(content.as_py())).namelist()
+                yield pa.RecordBatch.from_pydict({"archive": [archive] * len(names), "member": names}, pa.schema([("archive", pa.string()), ("member", pa.string())]))
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content").mapInArrow(run, "archive string, member string")
+    found = files.where(F.col("member").rlike(r"\d{12}\.jpg$")).withColumn("image_id", image_id_of(F.col("member")))
+    return found.groupBy("image_id").agg(F.min(F.struct("archive", "member")).alias("f")).select("image_id", "f.*")
+
+
+def probe_images(ids: DataFrame, listing: DataFrame, patterns: list[str]) -> DataFrame:
+    """(image_id, path): for each id the file of `listing` (path) named by the first pattern that fits, such as
+    `COCO_val2014_{}.jpg` or `{}.jpg`, the braces standing for twelve digits. Ids without a file have no row."""
+    names = F.array(*[F.concat(F.lit(p.split("{}")[0]), F.lpad(F.col("image_id").cast("string"), 12, "0"), F.lit(p.split("{}")[1])) for p in patterns])
+    wanted = ids.select("image_id").distinct().select("image_id", F.posexplode(names).alias("order", "name"))
+    files = listing.select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
+    return wanted.join(files, "name").groupBy("image_id").agg(F.min(F.struct("order", "path")).alias("f")).select("image_id", "f.path")
 
 
 def _document(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +20,22 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_prediction_array(df: DataFrame, path: str) -> None:
-    """Predictions (image_id, caption) as one JSON array; meant for result files of an evaluation, which one task can hold."""
-    rows = F.sort_array(F.collect_list(F.struct("image_id", "caption")))
-    df.agg(F.to_json(rows).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """Predictions (image_id, caption) as one JSON array in one file, by image. The rows stream through the task that writes it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for b in batches:
+            lines = [x for x in b.column(0).to_pylist() if x is not None]
+            if lines:
+                out = [("[" if first and i == 0 else ",") + x for i, x in enumerate(lines)]
+                first = False
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"])], ["value"])
+
+    # A last row of its own, so that an empty table has a task that writes an empty array.
+    end = df.sparkSession.range(0, 1, 1, 1).select(F.lit(None).alias("image_id"), F.lit(None).alias("caption"), F.lit(True).alias("end"))
+    rows = df.select("image_id", "caption", F.lit(False).alias("end")).unionByName(end).repartition(1).sortWithinPartitions("end", "image_id", "caption")
+    rows.select(F.when(~F.col("end"), F.to_json(F.struct("image_id", "caption"), {"ignoreNullFields": "false"})).alias("value")).mapInArrow(run, "value string").write.mode("overwrite").text(path)
 
 
 def write_summary(df: DataFrame, path: str) -> None:

@@ -2,29 +2,39 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.functions.numbers import controller_step
 from weftline.schemas import STEP_LOG
 
 
-def controller_trace(log: DataFrame, run: str, step: str, kl: str, beta: float, target: float, **bounds: float) -> DataFrame:
-    """(run, step, beta) after each step of a run: a fold over the run's ordered steps. A run is one training log."""
-    steps = F.sort_array(F.collect_list(F.struct(step, kl)))
-    one = F.struct(F.lit(beta).alias("beta"), F.array().cast("array<double>").alias("trace"))
+def controller_trace(log: DataFrame, run: str, step: str, kl: str, beta: float, target: float, rate: float = 0.05, low: float = 1e-4, high: float = 2.0) -> DataFrame:
+    """(run, step, beta) after each step of a run: a fold over the ordered steps as they stream by, only the last coefficient held.
+    A missing divergence counts as one on target."""
+    if target <= 0:
+        raise ValueError("target must be positive")
 
-    def fold(a: Column, x: Column) -> Column:
-        b = controller_step(a["beta"], x[kl], target, **bounds)
-        return F.struct(b.alias("beta"), F.concat(a["trace"], F.array(b)).alias("trace"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, b = object(), beta
+        for batch in batches:
+            out = []
+            for r, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if r != last:
+                    last, b = r, beta
+                e = 0.0 if x is None else min(1.0, max(-1.0, x / target - 1.0))
+                b = min(max(b * math.exp(rate * e), low), high)
+                out.append(b)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], [run, step, "beta"])
 
-    d = log.groupBy(run).agg(steps.alias("s")).withColumn("t", F.aggregate("s", one, fold, lambda a: a["trace"]))
-    pairs = F.zip_with("s", "t", lambda x, b: F.struct(x[step].alias(step), b.alias("beta")))
-    return d.select(run, F.inline(pairs))
+    kinds = {f.name: f.dataType.simpleString() for f in log.schema}
+    d = log.select(run, step, F.col(kl).cast("double")).repartition(run).sortWithinPartitions(run, step)
+    return d.mapInArrow(fold, f"{run} {kinds[run]}, {step} {kinds[step]}, beta double")
 
 
 def violations(log: DataFrame, run: str, step: str, kl: str, stop: float, patience: int) -> DataFrame:
@@ -59,8 +69,6 @@ def controller_stream(log: DataFrame, run: str, beta: float, target: float, pati
 
     Steps of a micro-batch are taken in their order; a step not later than the last one seen is a repeat and skipped.
     """
-    import math
-
     if target <= 0:
         raise ValueError("target must be positive")
 
