@@ -103,12 +103,6 @@ def render_chat(t: Column) -> Column:
     return F.array_join(F.transform(t, lambda x: F.concat(F.lit("<|im_start|>"), x["role"], F.lit("\n"), F.coalesce(x["content"], F.lit("")), F.lit("<|im_end|>\n"))), "")
 
 
-def choice_prompt(question: Column, options: dict[str, Column], instruction: str = "Answer with the option letter only.") -> Column:
-    """Question, the options that have text, and the instruction, a line each."""
-    lines = F.array(*[F.when(o.isNotNull() & (o != "nan"), F.concat(F.lit(f"{k}. "), o)) for k, o in options.items()])
-    return F.concat_ws("\n", question, F.lit("Options:"), F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n"), F.lit(instruction))
-
-
 # --- Token sequences -------------------------------------------------------------------------------------------------
 
 

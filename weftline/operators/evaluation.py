@@ -11,6 +11,7 @@ from weftline.functions import numbers as N
 from weftline.operators import grading as G
 from weftline.operators import metrics as M
 from weftline.operators import relational as R
+from weftline.operators import rewards as RW
 
 LETTERS = ("A", "B", "C", "D")
 
@@ -115,7 +116,7 @@ def pair_confidence(yes: Column, no: Column) -> tuple[Column, Column]:
 
 def extended_reward(base: Column, cider: Column, judge: Column, w_cider: float, w_judge: float) -> Column:
     """A clamped base reward with shares of the scaled metric and of the judge's score, clamped again."""
-    return N.clamp(base + w_cider * cider / 10.0 + w_judge * N.judge_rescaled(judge))
+    return RW.shaped(base, cider, N.judge_rescaled(judge), w_cider, w_judge)
 
 
 def rank_correlations(df: DataFrame, score: str, metrics: list[str]) -> DataFrame:

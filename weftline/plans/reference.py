@@ -373,14 +373,25 @@ def jaccard(s, d):
     return _captions(s, d).select("id", "pred", F.posexplode("refs").alias("ref", "tok")).select("id", F.col("ref").cast("long").alias("ref"), r6(M.jaccard_distance(F.col("pred"), F.col("tok"))).alias("distance"))
 
 
-@query(None)
+# Longest common subsequences row by row, and greedy alignments token by token, of the prediction with each reference.
+ALIGN_SQL = """pr AS (SELECT p.id, r.ref, p.tok AS a, r.tok AS b, list_transform(range(1, len(r.tok) + 1), lambda j: [j]) AS js FROM cap p JOIN cap r ON p.id = r.id AND p.ref = -1 AND r.ref >= 0),
+lcs AS (SELECT id, ref, a, b, js, 1 AS i, list_transform(range(0, len(b) + 1), lambda j: 0::BIGINT) AS prev FROM pr UNION ALL SELECT id, ref, a, b, js, i + 1, list_reduce(js, lambda r, e: r || [CASE WHEN a[i] = b[e[1]] THEN prev[e[1]] + 1 ELSE greatest(prev[e[1] + 1], r[len(r)]) END], [0::BIGINT]) FROM lcs WHERE i <= len(a)),
+rl AS (SELECT id, max(CASE WHEN n > 0 THEN 2.44 * (n / la) * (n / lb) / (n / lb + 1.44 * n / la) ELSE 0.0 END) AS rouge_l FROM (SELECT id, prev[len(prev)] AS n, len(a) AS la, len(b) AS lb FROM lcs WHERE i = len(a) + 1) GROUP BY id),
+al AS (SELECT id, ref, a, b, 1 AS i, []::BIGINT[] AS o FROM pr UNION ALL SELECT id, ref, a, b, i + 1, o || coalesce(list_sort(list_transform(list_filter(range(1, len(b) + 1), lambda j: b[j] = a[i] AND NOT list_contains(o, j)), lambda j: CASE WHEN len(o) = 0 THEN [0, j, j] ELSE [(j < o[len(o)])::INT, abs(j - o[len(o)]), j] END))[1][3:3], []) FROM al WHERE i <= len(a)),
+me AS (SELECT id, max(CASE WHEN m > 0 THEN 10 * (m / la) * (m / lb) / (m / lb + 9 * m / la) * (1 - 0.5 * pow(pieces / m, 3)) ELSE 0.0 END) AS meteor_exact FROM (SELECT id, len(o) AS m, len(a) AS la, len(b) AS lb, 1 + len(list_filter(range(1, len(o)), lambda k: o[k + 1] - o[k] <> 1)) AS pieces FROM al WHERE i = len(a) + 1) GROUP BY id)"""
+
+
+@query(f"WITH RECURSIVE {_captions_sql()}, {ALIGN_SQL} SELECT id, round(rouge_l, 6) AS rouge_l, round(meteor_exact, 6) AS meteor_exact FROM rl JOIN me USING (id)")
 def alignment_metrics(s, d):
-    return M.alignment_metrics(_captions(s, d))
+    return M.alignment_metrics(_captions(s, d)).select("id", r6("rouge_l").alias("rouge_l"), r6("meteor_exact").alias("meteor_exact"))
 
 
-@query(None)
+@query(f"""SELECT round(bleu1, 5) AS bleu1, round(bleu2, 5) AS bleu2, round(bleu3, 5) AS bleu3, round(bleu4, 5) AS bleu4, round(rouge_l, 4) AS rouge_l, round(meteor_exact, 4) AS meteor_exact, round(cider, 4) AS cider, round(avg_tokens, 5) AS avg_tokens, empty_rate FROM ({Q['corpus_bleu'][1]}), (SELECT avg(cider) AS cider FROM ({Q['cider'][1]})),
+(SELECT avg(rouge_l) AS rouge_l, avg(meteor_exact) AS meteor_exact FROM ({Q['alignment_metrics'][1]})), (WITH {_captions_sql()} SELECT avg(len(tok)) AS avg_tokens, avg((len(tok) = 0)::INT) AS empty_rate FROM cap WHERE ref = -1)""")
 def caption_metric_bundle(s, d):
-    return M.caption_metrics(_captions(s, d))
+    digits = {"rouge_l": 4, "meteor_exact": 4, "cider": 4}
+    m = M.caption_metrics(_captions(s, d))
+    return m.select(*[F.round(c, digits.get(c, 5)).alias(c) if c != "empty_rate" else F.col(c) for c in m.columns])
 
 
 F1_SQL = """tf AS (SELECT id, ref, w, count(*) AS tf FROM (SELECT id, ref, unnest(tok) AS w FROM cap) GROUP BY ALL), hit AS (SELECT r.id, r.ref, sum(least(p.tf, r.tf)) AS hit FROM tf p JOIN tf r ON p.id = r.id AND p.w = r.w AND p.ref = -1 AND r.ref >= 0 GROUP BY ALL),
@@ -395,9 +406,10 @@ def reward_parts(s, d):
     return c.select("id", r6(best).alias("f1"), r6(RW.repetition(F.col("pred"))).alias("repetition"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {_captions_sql()}, {F1_SQL}, {ALIGN_SQL}, ls AS (SELECT p.id, arg_min(least(len(p.tok), len(r.tok)) / greatest(len(p.tok), len(r.tok), 1), struct_pack(d := abs(len(r.tok) - len(p.tok)), l := r.ref)) AS length_score FROM cap p JOIN cap r ON p.id = r.id AND p.ref = -1 AND r.ref >= 0 GROUP BY p.id)
+SELECT id, round(least(greatest(@WEIGHTED, -1), 1), 6) AS reward FROM f1 JOIN rep USING (id) JOIN rl USING (id) JOIN me USING (id) JOIN ls USING (id)""".replace("@WEIGHTED", " + ".join(f"({-w if k == 'repetition_penalty' else w}) * {'f1' if k == 'unigram_f1' else 'repetition' if k == 'repetition_penalty' else k}" for k, w in RW.WEIGHTS.items())))
 def reward_composite(s, d):
-    return RW.reference_reward(_captions(s, d))
+    return RW.reference_reward(_captions(s, d)).select("id", r6("reward").alias("reward"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((l_quantity - avg(l_quantity) OVER w) / (stddev_pop(l_quantity) OVER w + 1e-4), 4) AS advantage FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)")
@@ -484,17 +496,26 @@ def throughput(s, d):
 # --- Near-duplicates of the reference -----------------------------------------------------------------------------------
 
 
-@query(None)
+# Distinct normalised texts with their shingles of five words (a shorter text is one shingle).
+SHINGLES_SQL = f"""sw AS (SELECT doc_id, string_split({NEAR_SQL.format('text')}, ' ') AS w FROM documents WHERE doc_id IS NOT NULL), ws AS (SELECT doc_id, w FROM sw WHERE w[1] <> ''),
+tx AS (SELECT array_to_string(w, ' ') AS whole, min(doc_id) AS rep, any_value(w) AS w FROM ws GROUP BY 1), sh AS (SELECT rep, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS g FROM tx)"""
+CLUSTERS_SQL = f"""WITH RECURSIVE {SHINGLES_SQL}, ns AS (SELECT rep, count(*) AS n FROM sh GROUP BY rep), ps AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.rep < b.rep GROUP BY ALL),
+lk AS (SELECT a, b FROM ps JOIN ns na ON na.rep = a JOIN ns nb ON nb.rep = b WHERE c >= 0.8 * (na.n + nb.n - c) - 1e-9), bw AS (SELECT a, b FROM lk UNION ALL SELECT b, a FROM lk), rc AS (SELECT rep AS a, rep AS b FROM tx UNION SELECT rc.a, bw.b FROM rc JOIN bw ON rc.b = bw.a), gr AS (SELECT a AS rep, min(b) AS component FROM rc GROUP BY a),
+al AS (SELECT ws.doc_id AS id, component, count(*) OVER (PARTITION BY component) AS k FROM ws JOIN tx ON array_to_string(ws.w, ' ') = whole JOIN gr ON gr.rep = tx.rep)"""
+
+
+@query(f"""WITH RECURSIVE {SHINGLES_SQL.replace("min(doc_id) AS rep, any_value(w) AS w FROM ws GROUP BY 1", "doc_id AS rep, w FROM ws")}, lc AS (SELECT 1 AS i, 12345::BIGINT AS x UNION ALL SELECT i + 1, (1103515245 * x + 12345) % 2147483647 FROM lc WHERE i <= 128), pm AS (SELECT i // 2 AS k, max(CASE WHEN i % 2 = 0 THEN greatest(x, 1) END) AS a, max(CASE WHEN i % 2 = 1 THEN x END) AS b FROM lc WHERE i > 1 GROUP BY 1),
+hs AS (SELECT DISTINCT rep, ('0x' || left(md5(g), 8))::BIGINT % 2147483647 AS h FROM sh), mn AS (SELECT rep, k, min((h * a + b) % 2147483647) AS m FROM hs, pm GROUP BY ALL) SELECT rep AS id, list(m ORDER BY k) AS sig FROM mn GROUP BY rep""")
 def minhash_signature(s, d):
     return D.signatures(table(s, d, "documents"), "doc_id", F.col("text"), 64)
 
 
-@query(None)
+@query(f"{CLUSTERS_SQL} SELECT id, component FROM al WHERE k > 1")
 def near_dup_clusters(s, d):
     return D.near_clusters(D.shingled(table(s, d, "documents"), "doc_id", F.col("text")))
 
 
-@query(None)
+@query(f"{CLUSTERS_SQL}, cl AS (SELECT count(*) AS texts, count_if(k > 1) AS clustered, count(DISTINCT CASE WHEN k > 1 THEN component END) AS clusters FROM al) SELECT texts, clusters, clustered, clustered - clusters AS near_duplicates, (clustered - clusters) / greatest(texts, 1) AS share FROM cl")
 def near_dup_profile(s, d):
     return D.near_profile(D.shingled(table(s, d, "documents"), "doc_id", F.col("text")))
 
@@ -550,7 +571,8 @@ def top_k_nucleus(s, d):
     return x.where("k <= 5 AND before <= 0.9").select("user_id", "event_id")
 
 
-@query(None)
+@query("""WITH t AS (SELECT doc_id, CASE WHEN text = '' THEN [0] ELSE list_transform(string_split(text, ''), lambda c: unicode(c)) END AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, list_transform(t, lambda x, i: CASE WHEN i <= coalesce(nullif(list_position(t, 46), 0), i) THEN 1 ELSE 0 END) AS mask, list_transform(t, lambda x, i: CASE WHEN i <= 3 THEN -100 ELSE x END) AS labels, len(list_filter(range(1, len(t) + 1), lambda i: t[i] = 32 AND (i = 1 OR t[i - 1] <> 32)))::INT AS runs FROM t""")
 def token_masks(s, d):
     t = table(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.transform(F.split("text", ""), lambda c: F.ascii(c)).alias("t"))
     return t.select("doc_id", C.mask_after_end(F.col("t"), 46).alias("mask"), C.prefix_masked(F.col("t"), F.lit(3)).alias("labels"), F.size(C.marker_runs(F.col("t"), 32)).alias("runs"))
@@ -594,7 +616,9 @@ def existence_preference_pairs(s, d):
     return B.opposite_pairs(table(s, d, "preference_pairs"), "pair_id", "chosen", 20, 42)
 
 
-@query(None)
+@query(f"""WITH {TURNS_SQL.replace('"content":"VARCHAR"', '"content":"VARCHAR","tools":"JSON","functions":"JSON"')}, x AS (SELECT row_id, turns, list_position(list_transform(turns, lambda x: x.role), 'assistant') AS i FROM t), v AS (SELECT row_id, turns[1:i - 1] AS before, turns[i].content AS ref, turns FROM x WHERE i >= 2)
+SELECT v.row_id, task FROM v JOIN sft_i2t USING (row_id) WHERE octet_length(image_bytes) > 0 AND len(list_filter(before, lambda x: contains(x.content, '<image>'))) > 0 AND len(list_filter(turns, lambda x: coalesce(x.tools::VARCHAR NOT IN ('""', '', 'null', '[]'), false) OR coalesce(x.functions::VARCHAR NOT IN ('""', '', 'null', '[]'), false))) = 0
+AND length(trim(ref, E' \\t\\r\\n')) BETWEEN 8 AND 384 ORDER BY md5(concat_ws(':', '42', v.row_id::VARCHAR)), v.row_id LIMIT 100""")
 def reward_subset(s, d):
     return B.reward_subset(table(s, d, "sft_i2t"), 100, 42).select("row_id", "task")
 
