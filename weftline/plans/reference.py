@@ -164,7 +164,10 @@ def system_prompt_draw(s, d):
     return table(s, d, "sft_i2t").select("row_id", (C.uniform(7, F.col("row_id")) < 0.2).alias("with_system"))
 
 
-@query(None)
+@query(f"""WITH {TURNS_SQL.replace('"content":"VARCHAR"', '"content":"VARCHAR","tools":"JSON"')}, u AS (SELECT row_id, turns, ('0x' || left(md5(concat_ws(':', '7', row_id::VARCHAR)), 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM t),
+f AS (SELECT *, len(turns) > 0 AND u < 0.2 AND coalesce(turns[1].role, '') <> 'system' AND len(list_filter(turns, lambda x: coalesce(x.tools::VARCHAR NOT IN ('""', '', 'null', '[]'), false))) = 0 AS lead FROM u),
+p AS (SELECT row_id, len(turns) + lead::INT AS n, u, CASE WHEN lead THEN ['You are a helpful assistant.', '你是一个可靠的助手。'][floor(u / 0.2 * 2)::INT + 1] ELSE coalesce(list_filter(turns, lambda x: x.role = 'system')[1].content, '') END AS txt FROM f)
+SELECT row_id, n::INT AS turns, CASE WHEN u > 0.2 THEN replace(txt, '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10), '') ELSE txt END AS system_text FROM p""")
 def preprocessed_chat(s, d):
     u = C.uniform(7, F.col("row_id"))
     t = _turns(s, d).select("row_id", C.with_system_prompt(F.col("t"), u, ["You are a helpful assistant.", "你是一个可靠的助手。"]).alias("t"))
@@ -504,8 +507,11 @@ lk AS (SELECT a, b FROM ps JOIN ns na ON na.rep = a JOIN ns nb ON nb.rep = b WHE
 al AS (SELECT ws.doc_id AS id, component, count(*) OVER (PARTITION BY component) AS k FROM ws JOIN tx ON array_to_string(ws.w, ' ') = whole JOIN gr ON gr.rep = tx.rep)"""
 
 
-@query(f"""WITH RECURSIVE {SHINGLES_SQL.replace("min(doc_id) AS rep, any_value(w) AS w FROM ws GROUP BY 1", "doc_id AS rep, w FROM ws")}, lc AS (SELECT 1 AS i, 12345::BIGINT AS x UNION ALL SELECT i + 1, (1103515245 * x + 12345) % 2147483647 FROM lc WHERE i <= 128), pm AS (SELECT i // 2 AS k, max(CASE WHEN i % 2 = 0 THEN greatest(x, 1) END) AS a, max(CASE WHEN i % 2 = 1 THEN x END) AS b FROM lc WHERE i > 1 GROUP BY 1),
-hs AS (SELECT DISTINCT rep, ('0x' || left(md5(g), 8))::BIGINT % 2147483647 AS h FROM sh), mn AS (SELECT rep, k, min((h * a + b) % 2147483647) AS m FROM hs, pm GROUP BY ALL) SELECT rep AS id, list(m ORDER BY k) AS sig FROM mn GROUP BY rep""")
+SIGNATURES_SQL = f"""WITH RECURSIVE {SHINGLES_SQL.replace("min(doc_id) AS rep, any_value(w) AS w FROM ws GROUP BY 1", "doc_id AS rep, w FROM ws")}, lc AS (SELECT 1 AS i, 12345::BIGINT AS x UNION ALL SELECT i + 1, (1103515245 * x + 12345) % 2147483647 FROM lc WHERE i <= 128), pm AS (SELECT i // 2 AS k, max(CASE WHEN i % 2 = 0 THEN greatest(x, 1) END) AS a, max(CASE WHEN i % 2 = 1 THEN x END) AS b FROM lc WHERE i > 1 GROUP BY 1),
+hs AS (SELECT DISTINCT rep, ('0x' || left(md5(g), 8))::BIGINT % 2147483647 AS h FROM sh), mn AS (SELECT rep, k, min((h * a + b) % 2147483647) AS m FROM hs, pm GROUP BY ALL), sg AS (SELECT rep AS id, list(m ORDER BY k) AS sig FROM mn GROUP BY rep)"""
+
+
+@query(f"{SIGNATURES_SQL} SELECT id, sig FROM sg")
 def minhash_signature(s, d):
     return D.signatures(table(s, d, "documents"), "doc_id", F.col("text"), 64)
 
@@ -520,7 +526,8 @@ def near_dup_profile(s, d):
     return D.near_profile(D.shingled(table(s, d, "documents"), "doc_id", F.col("text")))
 
 
-@query(None)
+@query(f"""{SIGNATURES_SQL}, nn AS (SELECT greatest(1, count(*) // 100) AS slots FROM sg), le AS (SELECT id, sig, ('0x' || left(md5(concat_ws(':', '6', id::VARCHAR)), 8))::BIGINT % slots AS slot FROM (SELECT * FROM sg ORDER BY md5(concat_ws(':', '5', id::VARCHAR)), id LIMIT 15000), nn), ri AS (SELECT id, sig, ('0x' || left(md5(concat_ws(':', '7', id::VARCHAR)), 8))::BIGINT % slots AS slot FROM sg, nn),
+eq AS (SELECT len(list_filter(list_zip(le.sig, ri.sig), lambda z: z[1] = z[2])) / 64 AS q FROM le JOIN ri ON le.slot = ri.slot AND le.id <> ri.id) SELECT count(*) AS comparisons, count_if(q >= 0.8) AS near, coalesce(avg((q >= 0.8)::INT), 0) AS rate FROM eq""")
 def near_dup_sampled_rate(s, d):
     return D.sampled_rate(D.signatures(table(s, d, "documents"), "doc_id", F.col("text"), 64), 15000, 100, 5)
 
