@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions import numbers as N
@@ -168,3 +169,14 @@ def coerced_score(values: Column, key: str = "f") -> Column:
     """A map of scores as one number: the entry `f`, else the mean of all."""
     v = F.map_values(values)
     return F.coalesce(F.try_element_at(values, F.lit(key)), F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(v), F.lit(1)))
+
+
+def chart_tables(summaries: DataFrame, base: str) -> DataFrame:
+    """(chart, model, name, value) from summaries (position, model, name, value): every value (overview), its gain over the model
+    before (chain) and its ratio to the model `base` (ratios); one row a model and metric, so windows over metrics are small."""
+    w = W.partitionBy("name").orderBy("position")
+    first = summaries.where(F.col("model") == base).select("name", F.col("value").alias("_base"))
+    d = summaries.withColumn("_before", F.lag("value").over(w)).join(first, "name", "left")
+    parts = {"overview": F.col("value"), "chain": F.col("value") - F.col("_before"), "ratios": F.col("value") / F.nullif(F.col("_base"), F.lit(0.0))}
+    rows = F.array(*[F.struct(F.lit(k).alias("chart"), v.alias("value")) for k, v in parts.items()])
+    return d.select("model", "name", F.explode(rows).alias("c")).where("c.value IS NOT NULL").select("c.chart", "model", "name", "c.value")

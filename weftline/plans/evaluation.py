@@ -12,7 +12,7 @@ from weftline.operators import evaluation as E
 from weftline.operators import grading as G
 from weftline.operators import relational as R
 from weftline.plans import builders as B
-from weftline.plans.reference import CONFIDENCE_SQL, NEAR_SQL, SCENES_SQL, TURNS_SQL, VOTES_SQL, BINARY_SQL, _captions, _captions_sql, _confidences, _scenes, _turns, _votes, query, r6
+from weftline.plans.reference import CONFIDENCE_SQL, NEAR_SQL, SCENES_SQL, TURNS_SQL, VOTES_SQL, WORDS_SQL, BINARY_SQL, _captions, _captions_sql, _confidences, _scenes, _turns, _votes, query, r6
 from weftline.session import table
 
 # --- Choices --------------------------------------------------------------------------------------------------------------
@@ -306,3 +306,37 @@ def coerced_scores(s, d):
     e = table(s, d, "events").groupBy("event_type").agg(r6(F.max("value")).alias("f"), r6(F.avg("value")).alias("g"))
     m = F.when(F.col("event_type") < "p", F.create_map(F.lit("f"), F.col("f"), F.lit("g"), F.lit(0.0))).otherwise(F.create_map(F.lit("g"), F.col("g")))
     return e.select("event_type", E.coerced_score(m).alias("score"))
+
+
+@query("SELECT caption_id, image_id, caption FROM captions c WHERE caption IS NOT NULL AND EXISTS (SELECT 1 FROM sft_i2t s WHERE s.image_id = c.image_id AND s.image_bytes IS NOT NULL)")
+def captioned_images(s, d):
+    have = table(s, d, "sft_i2t").where("image_bytes IS NOT NULL").select("image_id")
+    return table(s, d, "captions").where("caption IS NOT NULL").select("caption_id", "image_id", "caption").join(have, "image_id", "left_semi")
+
+
+@query(f"""WITH p AS (SELECT pair_id AS id, CASE WHEN starts_with(lower(trim(chosen)), 'yes') THEN 'yes' WHEN starts_with(lower(trim(chosen)), 'no') THEN 'no' END AS y FROM preference_pairs), e AS (SELECT id, y AS chosen, CASE WHEN y = 'yes' THEN 'no' ELSE 'yes' END AS rejected FROM p WHERE y IS NOT NULL ORDER BY md5(concat_ws(':', '8', id::VARCHAR)), id LIMIT 40),
+g AS (SELECT pair_id AS id, chosen, rejected FROM preference_pairs WHERE lower(trim(chosen)) NOT IN ('yes', 'no') AND len({WORDS_SQL.replace('{0}', 'chosen')}) >= 2 AND len({WORDS_SQL.replace('{0}', 'rejected')}) >= 1 ORDER BY md5(concat_ws(':', '8', pair_id::VARCHAR)), pair_id LIMIT 40) SELECT * FROM e UNION ALL SELECT * FROM g""")
+def balanced_preferences(s, d):
+    p = table(s, d, "preference_pairs")
+    return B.balanced_preferences(B.opposite_pairs(p, "pair_id", "chosen", 0, 8), p.select(F.col("pair_id").alias("id"), "chosen", "rejected"), 40, 8)
+
+
+@query("WITH t AS (SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber, l_partkey) AS t FROM lineitem GROUP BY 1) SELECT l_orderkey, (t || [0, 0, 0, 0, 0])[1:5] AS padded FROM t")
+def padded_tokens(s, d):
+    t = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("t"))
+    return t.select("l_orderkey", C.padded(F.transform("t", lambda x: x["l_linenumber"]), 5).alias("padded"))
+
+
+@query("WITH s AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 7 = 0), sc AS (SELECT user_id, event_type, round(avg(coalesce(value, 0)) - 20, 6) AS score FROM events GROUP BY ALL) SELECT sc.user_id AS seq, sc.event_type AS token, round(CASE WHEN s.user_id IS NULL THEN score WHEN score > 0 THEN score / 1.2 ELSE score * 1.2 END, 5) AS score FROM sc LEFT JOIN s ON sc.user_id = s.user_id AND sc.event_type = s.event_type")
+def repetition_penalty(s, d):
+    e = table(s, d, "events").select(F.col("user_id").alias("seq"), F.col("event_type").alias("token"), "event_id", "value")
+    scores = e.groupBy("seq", "token").agg(r6(F.avg(F.coalesce("value", F.lit(0.0))) - 20).alias("score"))
+    return C.repetition_penalty(scores, e.where("event_id % 7 = 0"), 1.2).withColumn("score", F.round("score", 5))
+
+
+@query("""WITH m AS (SELECT user_id % 3 AS position, 'model ' || (user_id % 3) AS model, event_type AS name, round(avg(value), 6) AS value FROM events GROUP BY ALL), b AS (SELECT name, value AS base FROM m WHERE model = 'model 0'), x AS (SELECT m.*, lag(value) OVER (PARTITION BY name ORDER BY position) AS before, base FROM m LEFT JOIN b USING (name))
+SELECT 'overview' AS chart, model, name, value FROM x UNION ALL SELECT 'chain', model, name, round(value - before, 5) FROM x WHERE before IS NOT NULL UNION ALL SELECT 'ratios', model, name, round(value / nullif(base, 0), 5) FROM x""")
+def chart_tables(s, d):
+    m = table(s, d, "events").groupBy((F.col("user_id") % 3).alias("position"), F.col("event_type").alias("name")).agg(r6(F.avg("value")).alias("value"))
+    c = E.chart_tables(m.withColumn("model", F.concat(F.lit("model "), F.col("position").cast("string"))), "model 0")
+    return c.withColumn("value", F.when(F.col("chart") == "overview", F.col("value")).otherwise(F.round("value", 5)))
