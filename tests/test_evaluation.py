@@ -61,6 +61,15 @@ def test_conditions(spark):
     assert by["same"]["change_rate"] == 0 and by["same"]["cider_drop"] == 0 and by["black"]["change_rate"] == 1 and by["black"]["mean_distance"] == 1 and by["black"]["bleu4_drop"] == pytest.approx(1)
 
 
+def test_condition_report_is_no_single_plan(spark):
+    right = spark.createDataFrame([(i, f"a {w} dog runs".split(), [f"a {w} dog runs on".split()]) for i, w in ((1, "big"), (2, "red"))], "id int, pred array<string>, refs array<array<string>>")
+    r = E.condition_report({"correct": right, **{f"c{i}": right.withColumn("pred", F.col("refs")[0]) for i in range(3)}})
+    plan = r._jdf.queryExecution().optimizedPlan().toString()
+    # Only rows of finished scores are put together: no n-grams, joins of tables or rankings are left to the last plan.
+    assert "Generate" not in plan and "Aggregate" not in plan
+    assert {x["condition"]: x["change_rate"] for x in r.collect()} == {"c0": 1.0, "c1": 1.0, "c2": 1.0}
+
+
 def test_peek_guard_and_ranks(spark):
     d = spark.range(17).repartition(5)
     assert [r[0] for r in E.strata_peek(d, 5, "id").orderBy("id").collect()] == [0, 3, 6, 10, 13]
