@@ -167,6 +167,18 @@ def test_groups_do_not_depend_on_partitions(spark, parts):
     assert {tuple(x) for x in near.similar_conversations(rows_of(spark, texts).repartition(parts)).collect()} == brute_groups(texts)
 
 
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_copies_in_many_tasks_are_one_text(spark, monkeypatch, small):
+    monkeypatch.setattr(near, "SMALL", small)
+    texts = dict(enumerate([" ".join(f"w{n // 2}x{i}" if i % 40 else f"z{n}" for i in range(80)) for n in range(30)] * 8))
+    seen, joined = [], near.components_of
+    monkeypatch.setattr(near, "components_of", lambda t, *more: seen.append((t.count(), t.select("digest").distinct().count())) or joined(t, *more))
+    got = {tuple(x) for x in near.conversation_groups(rows_of(spark, texts).repartition(8)).collect()}
+    # Counted again for every task that meets it, no run of a repeated text looks rare.
+    assert seen == [(30, 30)]
+    assert got == {(i, (i % 30) // 2 * 2, 8) for i in range(240)}
+
+
 # --- 4 ------------------------------------------------------------------------------------------------------------------
 
 
